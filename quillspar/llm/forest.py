@@ -17,7 +17,7 @@ class PrefixForest:
     bit first, so vectors under a node of the tree are those that share a prefix: a range of the array.
     """
 
-    def __init__(self, vectors: np.ndarray, trees: int = 24, bits: int = 32, seed: int = 11):
+    def __init__(self, vectors: np.ndarray, trees: int = 128, bits: int = 20, seed: int = 11):
         self.vectors, self.trees, self.bits = vectors, trees, bits
         self.directions = np.random.default_rng(seed).standard_normal((trees, vectors.shape[1], bits))
         self.centre = vectors.mean(axis=0) if len(vectors) else np.zeros(vectors.shape[1])
@@ -63,7 +63,7 @@ class PrefixForest:
         return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 24, bits: int = 32, share: float = 0.15, least: int = 500, shard_rows: int = 16_384, query_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 128, bits: int = 20, share: float = 0.25, least: int = 1200, shard_rows: int = 16_384, query_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest vectors found for each query, by Euclidean distance: query_id, rank, vec_id, score.
 
     Every row is indexed: rows are dealt by a hash of their id to shards of about `shard_rows`, and queries
