@@ -256,7 +256,8 @@ def repeated_spans(docs: DataFrame, span: int = 400, hot_contexts: int = 4000, t
     """
     spark = docs.sparkSession
     all_runs = stored(docs.mapInArrow(_find_anchors(span), _ANCHORS), "anchors")
-    keys = all_runs.groupBy("key").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alone")).where("n > 1")
+    # written first, so that the join has two plain exchanges and adaptive execution can split a hot key
+    keys = stored(all_runs.groupBy("key").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alone")).where("n > 1"), "keys")
     runs = stored(all_runs.join(keys.select("key", "alone"), "key"), "runs")
     contexts = runs.groupBy("key", "context", "alone").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "last", "anchor")).alias("where"))
     contexts = stored(contexts.select("key", "context", "alone", "n", "where.*"), "contexts")
