@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from sys import intern
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -99,7 +100,7 @@ def fit_chain(texts: list[str | None], toxic: np.ndarray, seeds: dict[str, tuple
     """
     words = [words_of(t) for t in texts]
     count: dict[str, list[int]] = {}
-    has = [{f for w in ws for f in features(w)} for ws in words]
+    has = [{intern(f) for w in ws for f in features(w)} for ws in words]  # one copy of each string
     for fs, t in zip(has, toxic, strict=True):
         for f in fs:
             count.setdefault(f, [0, 0])[int(t)] += 1
