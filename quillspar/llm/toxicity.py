@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from sys import intern
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, small_batches
+from .common import need, small_batches, stored
 
 #: Seed words of the categories, in the order of the chain. A labelled toxic document is a
 #: positive of each category whose seeds it has, and of the last category if it has none of them.
@@ -23,9 +23,22 @@ SEEDS = {
 _WORD = re.compile(r"\w+")
 
 
-def features(word: str) -> tuple[str, ...]:
-    """A word and its prefixes of four and five characters, which catch forms that the sample has not."""
-    return (word, *(f"{word[:n]}-" for n in (4, 5) if len(word) > n))
+#: Lengths of the prefixes that catch forms of a word that the sample has not.
+PREFIXES = (3, 4, 5, 6)
+
+
+def pairs_of(word: str) -> list[tuple[str, str]]:
+    """What a word adds to a text: a feature, and the feature of texts that have a second word with the first one."""
+    return [(word, ""), *((f"{word[:n]}-", f"{word[:n]}+") for n in PREFIXES if len(word) > n)]
+
+
+def features(words: set[str]) -> set[str]:
+    """A text's words, their prefixes, and the prefixes that several of its different words share."""
+    found: set[str] = set()
+    for w in words:
+        for one, two in pairs_of(w):
+            found.add(two if one in found and two else one)
+    return found
 
 
 def words_of(text: str | None) -> set[str]:
@@ -43,20 +56,24 @@ class Chain:
     bias: np.ndarray
 
     def __post_init__(self):
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, list[tuple[int, int]]] = {}
 
     def row(self, text: str | None) -> np.ndarray:
         """Indices of the features that a text has."""
-        known, most = self._known, 500_000
+        known, most, at = self._known, 500_000, self.vocabulary.get
         found: set[int] = set()
+        once: set[int] = set()
         for w in words_of(text):
             hit = known.get(w)
             if hit is None:
-                hit = tuple(i for f in features(w) if (i := self.vocabulary.get(f)) is not None)
+                hit = [x for one, two in pairs_of(w) if (x := (at(one, -1), at(two, -1))) != (-1, -1)]
                 if len(known) < most:
                     known[w] = hit
-            if hit:
-                found.update(hit)
+            for one, two in hit:
+                if one >= 0:
+                    found.add(one)
+                if two >= 0:
+                    (found if two in once else once).add(two)
         return np.fromiter(found, np.int64, len(found))
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
@@ -91,56 +108,71 @@ def _fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, size:
     return w, e, float(b)
 
 
-def fit_chain(texts: list[str | None], toxic: np.ndarray, seeds: dict[str, tuple[str, ...]] = SEEDS, size: int = 400, folds: int = 3) -> Chain:
-    """Fit the chain on labelled texts.
+def fit_chain(rows: list[np.ndarray], labels: dict[str, np.ndarray], vocabulary: dict[str, int], folds: int = 3) -> Chain:
+    """Fit the chain on texts given as the sorted indices of the features they have, one label array a model.
 
     Later models are trained on out-of-fold probabilities of the earlier ones: each fold's are predicted by
-    models that have not seen it, so that in use the inputs look as they did in training. The vocabulary has
-    the features in at least three texts whose share among toxic texts differs most from that among the others.
+    models that have not seen it, so that in use the inputs look as they did in training.
     """
-    words = [words_of(t) for t in texts]
-    count: dict[str, list[int]] = {}
-    has = [{intern(f) for w in ws for f in features(w)} for ws in words]  # one copy of each string
-    for fs, t in zip(has, toxic, strict=True):
-        for f in fs:
-            count.setdefault(f, [0, 0])[int(t)] += 1
-    n1, n0 = max(1, int(toxic.sum())), max(1, len(toxic) - int(toxic.sum()))
-    score = {f: abs(c[1] / n1 - c[0] / n0) * abs(np.log((c[1] + 0.5) / n1) - np.log((c[0] + 0.5) / n0)) for f, c in count.items() if sum(c) >= 3}
-    vocabulary = {f: i for i, f in enumerate(sorted(score, key=lambda f: (-score[f], f))[:size])}
-    rows = [np.array(sorted(vocabulary[f] for f in fs if f in vocabulary), np.int64) for fs in has]
-
-    known = set().union(*seeds.values())
-    labels = {name: np.array([int(t and (bool(ws & set(s)) if s else not ws & known)) for ws, t in zip(words, toxic, strict=True)], float) for name, s in seeds.items()}
-    labels["toxic"] = toxic.astype(float)
-    names = list(labels)
-    fold = np.arange(len(texts)) % folds
-    fed = np.zeros((len(texts), 0))
-    weights, links, bias = np.zeros((len(names), max(1, len(vocabulary)))), np.zeros((len(names), len(names))), np.zeros(len(names))
+    names, n, size = list(labels), len(rows), max(1, len(vocabulary))
+    fold = np.arange(n) % folds
+    fed = np.zeros((n, 0))
+    weights, links, bias = np.zeros((len(names), size)), np.zeros((len(names), len(names))), np.zeros(len(names))
     for k, name in enumerate(names):
         y = labels[name]
-        weights[k], links[k, :k], bias[k] = _fit_linear(rows, fed, y, weights.shape[1])
-        out = np.zeros(len(texts))
+        weights[k], links[k, :k], bias[k] = _fit_linear(rows, fed, y, size)
+        out = np.zeros(n)
         for f in range(folds if k < len(names) - 1 else 0):
             seen = np.flatnonzero(fold != f)
-            w, e, b = _fit_linear([rows[i] for i in seen], fed[seen], y[seen], weights.shape[1])
+            w, e, b = _fit_linear([rows[i] for i in seen], fed[seen], y[seen], size)
             for i in np.flatnonzero(fold == f):
                 out[i] = _sigmoid(w[rows[i]].sum() + fed[i] @ e + b)
         fed = np.column_stack([fed, out])
     return Chain(names, vocabulary, weights, links, bias)
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_chars: int = 20_000, seeds: dict[str, tuple[str, ...]] = SEEDS) -> Chain:
+def train_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, seeds: dict[str, tuple[str, ...]] = SEEDS, size: int = 800, folds: int = 3) -> Chain:
     """Fit on a bounded sample of labelled rows: at most `sample_rows`, those least by a hash of doc_id.
 
-    Up to half of the sample are toxic rows. Of a longer training text, its first `sample_chars` characters
-    are used; scoring always reads whole texts. Null labels and texts are left out.
+    Up to half of the sample are toxic rows; null labels and texts are left out. Executors turn the sample's
+    whole texts into features and count them; the vocabulary has the `size` features in at least three texts
+    whose share among toxic texts differs most from that among the others. What reaches the driver is the
+    vocabulary and, for each row of the sample, indices into it, however long the texts are.
     """
+    small_batches(docs.sparkSession)
     labelled = need(labels, "doc_id", "toxic").where("toxic is not null and doc_id is not null")
-    rows = need(docs, "doc_id", "text").where("text is not null")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     both = labelled.where("toxic = 1").orderBy(*order).limit(sample_rows // 2).unionAll(labelled.where("toxic <> 1").orderBy(*order).limit(sample_rows // 2))
-    sample = rows.join(F.broadcast(both), "doc_id").select("doc_id", F.substring("text", 1, sample_chars).alias("text"), "toxic").orderBy(*order, "text").limit(sample_rows).collect()
-    return fit_chain([r.text for r in sample], np.array([int(r.toxic == 1) for r in sample], int), seeds)
+    texts = need(docs, "doc_id", "text").where("text is not null").join(F.broadcast(both), "doc_id")
+    known = set().union(*seeds.values())
+
+    def featured(batches):
+        for b in batches:
+            words = [words_of(t) for t in b.column(2).to_pylist()]
+            has = [sorted(features(ws)) for ws in words]
+            seeded = [[bool(ws & set(s)) if s else not ws & known for s in seeds.values()] for ws in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seeded, pa.list_(pa.bool_())), pa.array(has, pa.list_(pa.string()))], names=["doc_id", "toxic", "seeded", "features"])
+
+    kind = "doc_id long, toxic int, seeded array<boolean>, features array<string>"
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("int").alias("toxic"), "text").mapInArrow(featured, kind)
+    sample = stored(rows.orderBy(*order, "features").limit(sample_rows), "toxicity-sample")
+
+    total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    n1, n0 = max(1, total.t), max(1, total.n - total.t)
+    counts = sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where("n >= 3")
+    share, odds = F.col("t") / n1 - (F.col("n") - F.col("t")) / n0, F.log((F.col("t") + 0.5) / n1) - F.log((F.col("n") - F.col("t") + 0.5) / n0)
+    chosen = counts.orderBy(F.desc(F.abs(share) * F.abs(odds)), "feature").limit(size).collect()
+    vocabulary = {r.feature: i for i, r in enumerate(chosen)}
+
+    def indexed(batches):
+        for b in batches:
+            at = [sorted(vocabulary[f] for f in fs if f in vocabulary) for fs in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(at, pa.list_(pa.int32()))], names=["doc_id", "toxic", "seeded", "at"])
+
+    found = sample.mapInArrow(indexed, "doc_id long, toxic int, seeded array<boolean>, at array<int>").orderBy(*order, "at").collect()
+    toxic = np.array([r.toxic for r in found], float)
+    marks = {name: toxic * np.array([r.seeded[k] for r in found], float) for k, name in enumerate(seeds)}
+    return fit_chain([np.array(r.at, np.int64) for r in found], {**marks, "toxic": toxic}, vocabulary, folds)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.4) -> DataFrame:

@@ -345,3 +345,16 @@ def test_licence_pruning_loses_nothing():
         found = table.best(unit) if unit else None
         assert (found is not None) == (best >= 0.8) and (not found or found[0] == best)
         assert not found or any(s in line.lower() for s in signs)
+
+
+def test_toxicity_features_agree():
+    """The cached rows of the chain hold the features of the text that training counts, whatever the order of words."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abc"), int(rng.integers(1, 9)))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(0, 40, 60)]
+    every = sorted(set().union(*(toxicity.features(toxicity.words_of(t)) for t in texts)))
+    vocabulary = {f: k for k, f in enumerate(every[::2])}
+    chain = toxicity.Chain(["toxic"], vocabulary, np.zeros((1, len(vocabulary))), np.zeros((1, 1)), np.zeros(1))
+    for t in [*texts, *texts, None, ""]:
+        assert {every[::2][k] for k in chain.row(t)} == toxicity.features(toxicity.words_of(t)) & set(vocabulary)
+    assert toxicity.features({"abcd", "abce"}) >= {"abc-", "abc+"} and "abc+" not in toxicity.features({"abcd"})
