@@ -21,36 +21,62 @@ PASSAGE_BYTES = 300
 BIN_WORDS = 2048
 
 
+def _apart(docs: DataFrame, *read: str) -> DataFrame:
+    """docs with names of their own for all columns but those a stage reads: no name can clash."""
+    return docs.toDF(*[c if c in read else f"held_{k}" for k, c in enumerate(docs.columns)])
+
+
+def _staying(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose id has a kept row in found, and those without an id, which nothing can name as copies."""
+    named = docs.where("doc_id is not null").join(found.where("kept").select("doc_id"), "doc_id", "left_semi")
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where("doc_id is null"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go."""
+    """Documents that the classifier chain rejects go.
+
+    Null and empty texts stay, as do null ids; of repeated rows all go or stay. Without rows or labels, nothing goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_toxicity(docs, train_chain(docs, labels))
-    return scored.where(~F.col("is_toxic")).select(*docs.columns)
+    scored = score_toxicity(_apart(docs, "text"), train_chain(docs, labels))
+    return scored.where(~F.col("is_toxic")).drop("toxicity", "toxic_score", "is_toxic").toDF(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the smallest id stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of documents with equal texts, the one with the smallest id stays.
+
+    Null and empty texts are equal. Rows that share an id stay together; rows of a null id stay.
+    """
+    return _staying(docs, exact_dedup(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8), the one with the smallest id stays."""
-    kept = near_duplicates(docs, words=5, num=80, den=100).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8), the one with the smallest id stays.
+
+    Texts without words are linked with nothing. Rows that share an id stay together; rows of a null id stay.
+    """
+    return _staying(docs, near_duplicates(docs, words=5, num=80, den=100))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur elsewhere too are cut from every text; n_chars follows the text."""
-    cut = suffix_dedup(docs, span=PASSAGE_BYTES, characters=True).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("cut_text"))
-    joined = docs.join(cut, "doc_id", "left")
-    text = F.coalesce("cut_text", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("cut_text").isNotNull(), F.length("cut_text").cast("long")).otherwise(F.col("n_chars"))}
-    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    """Passages that occur elsewhere too are cut from every text; n_chars follows the text.
+
+    All rows stay. Null texts and rows of a null id stay as they are; rows that repeat each other, id and
+    all, lose what they share.
+    """
+    held = _apart(docs, "doc_id", "text").withColumn("no_text", F.col("text").isNull())
+    others = [c for c in held.columns if c not in ("doc_id", "text")]
+    cut = suffix_dedup(held, span=PASSAGE_BYTES, characters=True, carry=tuple(others))
+    changed = F.col("n_removed") > 0
+    values = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("no_text"), F.col("kept_text"))}
+    values |= {c: F.col(h) for c, h in zip(docs.columns, held.columns) if c not in values}
+    if "n_chars" in values:
+        values["n_chars"] = F.when(changed, F.length("kept_text").cast("long")).otherwise(values["n_chars"])
+    return cut.select(*[values[c].alias(c) for c in docs.columns]).union(docs.where("doc_id is null"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, in bins."""
+    """The pieces of what is left, in bins; texts without words have a row with a null bin (see `pack`)."""
     return pack(docs, BIN_WORDS)
 
 

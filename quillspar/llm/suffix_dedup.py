@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import BLOCK_BYTES, RollingHash, in_blocks, mix, need, partitions, small_batches, stored, texts_of
 
@@ -317,7 +318,7 @@ def to_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, in
 _CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def suffix_dedup(docs: DataFrame, span: int = 400, characters: bool = False, hot_contexts: int = 4000, task_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, span: int = 400, characters: bool = False, hot_contexts: int = 4000, task_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte of a string of `span` bytes that also starts anywhere else, in any document or the same.
 
     One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and
@@ -328,11 +329,13 @@ def suffix_dedup(docs: DataFrame, span: int = 400, characters: bool = False, hot
     matches never cross documents, and strings are judged on the input. All copies of a passage go, the
     first as well. Rows of a null id are left out. A row that repeats another one, id and all, is a text of
     its own, so what both hold is repeated; what is found for an id is cut from all its rows. An empty table
-    gives an empty result. Other columns are not read.
+    gives an empty result. The columns `carry` names follow, as they are; no others are read.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = need(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    own = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
+    whole = docs.select(*own, *[F.col(f"`{c}`") for c in carry]).where("doc_id is not null")
+    rows = need(whole, "doc_id", "text")
     spans = stored(repeated_spans(rows, span, hot_contexts, task_bytes), "spans")
 
     def cut(batches):
@@ -349,7 +352,8 @@ def suffix_dedup(docs: DataFrame, span: int = 400, characters: bool = False, hot
                 left = b"".join([*kept, raw[at:]])
                 for c, v in zip(out, (len(raw), len(raw) - len(left), len(runs), sha256(left).hexdigest(), left.decode("utf-8", "replace") if characters else None), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *carry])
 
-    return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id long, {_CUT}")
+    kind = StructType([*StructType.fromDDL(f"doc_id long, {_CUT}"), *need(whole, *carry).schema])
+    return whole.join(spans, "doc_id", "left").select("doc_id", "text", "spans", *[F.col(f"`{c}`") for c in carry]).mapInArrow(cut, kind)
 

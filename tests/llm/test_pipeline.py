@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline as pipeline
 import numpy as np
+import pytest
 from test_operators import SF, brute_exact, brute_near
 
 from quillspar.llm.common import stored
@@ -50,3 +51,34 @@ def test_stages(spark):
     for r in stages["best-fit packing"](spark, cut, SF).collect():
         placed[r.doc_id] += r.length
     assert placed == words
+
+
+CLASHES = ("toxicity", "toxic_score", "IS_TOXIC", "kept", "cut_text", "no_text", "n_removed", "held_0", "component_id", "a.b")
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_edge_cases(spark, empty):
+    """Nulls anywhere, empty and repeated texts, repeated rows, clashing names, and a table without rows."""
+    passage = "".join(chr(97 + k * k % 23) + " " * (k % 5 == 4) for k in range(400))
+    texts = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (4, "one two"), (5, "one  two"), (None, "one two"), (None, None), (6, "left " + passage), (7, "right one " + passage), (8, "w" * 5000), (9, None)]
+    rows = [(i, t, None, "s" if i else None, len(t) if t else None, *("keep",) * len(CLASHES)) for i, t in texts]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = stored(spark.createDataFrame(rows[: 0 if empty else None], kind), "edge")
+    want = {"toxicity": texts, "exact dedup": [x for x in texts if x[0] not in (2, 5, 9)]}
+    want["near dedup"] = [x for x in want["exact dedup"] if x[0] != 7]
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+        found = got.collect()
+        assert all(r[5:] == ("keep",) * len(CLASHES) for r in found)
+        if name in want and not empty:
+            assert Counter((r.doc_id, r.text) for r in found) == Counter(want[name])
+        docs = stored(got, "next")  # each stage works on what its predecessor kept
+        if name == "exact dedup":
+            both = docs
+    assert empty or not {6, 7} - {r.doc_id for r in both.collect()}
+    cut = {(r.doc_id, r.text): r.n_chars for r in stored(pipeline.passages(spark, both, SF), "cut").collect()}
+    if not empty:
+        assert len(cut) == len(set(want["exact dedup"])) and (1, None) in cut and (None, "one two") in cut
+        assert all(n == len(t) for (i, t), n in cut.items() if i in (6, 7) and t is not None) and all(len(t) < 20 for i, t in cut if i in (6, 7))
+    assert (pipeline.packed(spark, both, SF).count() == 0) == empty
