@@ -15,8 +15,10 @@ from quillspar.llm.packing import pack
 from quillspar.llm.suffix_dedup import suffix_dedup
 from quillspar.llm.toxicity import score_toxicity, train_chain
 
-#: Passages of so many bytes that occur elsewhere too are cut; about fifty words.
+#: Passages of so many bytes that occur elsewhere too are cut.
 PASSAGE_BYTES = 300
+#: So are passages of so many words, however short: all that have over fifty.
+PASSAGE_WORDS = 51
 #: Words in a bin.
 BIN_WORDS = 2048
 
@@ -59,14 +61,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur elsewhere too are cut from every text; n_chars follows the text.
+    """Passages (of 300 bytes, or of 51 words whatever their bytes) that occur elsewhere too are cut from every text; n_chars follows the text.
 
     All rows stay. Null texts and rows of a null id stay as they are; rows that repeat each other, id and
     all, lose what they share.
     """
     held = _apart(docs, "doc_id", "text").withColumn("no_text", F.col("text").isNull())
     others = [c for c in held.columns if c not in ("doc_id", "text")]
-    cut = suffix_dedup(held, span=PASSAGE_BYTES, characters=True, carry=tuple(others))
+    cut = suffix_dedup(held, span=PASSAGE_BYTES, characters=True, carry=tuple(others), words=PASSAGE_WORDS)
     changed = F.col("n_removed") > 0
     values = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("no_text"), F.col("kept_text"))}
     values |= {c: F.col(h) for c, h in zip(docs.columns, held.columns) if c not in values}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from hashlib import sha256
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BLOCK_BYTES, RollingHash, in_blocks, mix, need, partitions, small_batches, stored, texts_of
+from .common import BLOCK_BYTES, SPACE, RollingHash, in_blocks, mix, need, partitions, small_batches, stored, texts_of
 
 
 # ---- suffix arrays
@@ -253,7 +254,7 @@ def repeated_spans(docs: DataFrame, span: int = 400, hot_contexts: int = 4000, t
     4. Keys of more than `hot_contexts` contexts don't meet in one task: their windows are counted by two
        64-bit hashes in an aggregate that combines before the shuffle.
 
-    docs needs a unique, non-null long doc_id and a text (null: empty).
+    docs needs a unique, non-null long doc_id and a text (null: empty), a string or bytes.
     """
     spark = docs.sparkSession
     all_runs = stored(docs.mapInArrow(_find_anchors(span), _ANCHORS), "anchors")
@@ -270,7 +271,7 @@ def repeated_spans(docs: DataFrame, span: int = 400, hot_contexts: int = 4000, t
     def content(batches):
         for batch in batches:
             for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
+                raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
                 cols = [[r["key"] for r in rows], [r["context"] for r in rows], [r["anchor"] - r["first"] for r in rows], [r["m"] for r in rows], [raw[r["first"] : r["last"] + span] for r in rows]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["key", "context", "before", "m", "content"])
 
@@ -315,11 +316,53 @@ def to_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return out
 
 
+#: Bytes that stand for a word where repeats are judged by words.
+WORD_BYTES = 8
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, and how many words are before each text's end; the first is 0."""
+    inside = ~SPACE[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < len(data))]
+    begins[edges] = inside[edges]
+    ends[edges - 1] = inside[edges - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return RollingHash(data).of(start, end), np.searchsorted(start, offsets)
+
+
+def _code_words(batches):
+    """Texts as the hashes of their words, so that windows of bytes there are windows of words."""
+    for batch in batches:
+        data, offsets = texts_of(batch.column(1))
+        for first, last in in_blocks(offsets):
+            codes, at = word_codes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            raw = codes.tobytes()
+            texts = [raw[WORD_BYTES * a : WORD_BYTES * b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+
+def word_runs(raw: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """The bytes [start, end) that windows of words cover, of spans over word codes; those within a word's code don't count."""
+    whole = [(-(-lo // WORD_BYTES), hi // WORD_BYTES) for lo, hi in spans]
+    runs = merged([(a, b) for a, b in whole if a <= b], words - 1)  # to the last word; runs that share none stay apart
+    at = [m.span() for m in _WORD.finditer(raw)] if runs else []
+    return [(at[a][0], at[min(b, len(at) - 1)][1]) for a, b in runs if a < len(at)]
+
+
 _CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def suffix_dedup(docs: DataFrame, span: int = 400, characters: bool = False, hot_contexts: int = 4000, task_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Remove every byte of a string of `span` bytes that also starts anywhere else, in any document or the same.
+def suffix_dedup(docs: DataFrame, span: int = 400, characters: bool = False, hot_contexts: int = 4000, task_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words: int = 0) -> DataFrame:
+    r"""Remove every byte of a string of `span` bytes that also starts anywhere else, in any document or the same.
+
+    With `words`, every string of so many words `[^\x20\x09-\x0D]+` that also occurs elsewhere goes too, from its
+    first word to its last, however short in bytes and whatever white space stands between its words. Words are
+    compared by 64-bit hashes in the same search.
 
     One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and
     kept_text. With `characters`, only characters that are covered as a whole go, so that what is left is
@@ -337,13 +380,20 @@ def suffix_dedup(docs: DataFrame, span: int = 400, characters: bool = False, hot
     whole = docs.select(*own, *[F.col(f"`{c}`") for c in carry]).where("doc_id is not null")
     rows = need(whole, "doc_id", "text")
     spans = stored(repeated_spans(rows, span, hot_contexts, task_bytes), "spans")
+    by_words = spans.limit(0)
+    if words:
+        coded = rows.mapInArrow(_code_words, "doc_id long, text binary")
+        by_words = stored(repeated_spans(coded, WORD_BYTES * words, hot_contexts, task_bytes), "word-spans")
+    spans = spans.join(by_words.withColumnRenamed("spans", "word_spans"), "doc_id", "full_outer")
 
     def cut(batches):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, found, worded in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 runs = [(a, min(b, len(raw))) for a, b in merged([(s["lo"], s["hi"]) for s in found or []], span) if a < len(raw)]
+                if worded:
+                    runs = merged(runs + word_runs(raw, [(s["lo"], s["hi"]) for s in worded], words), 0)
                 runs = to_characters(raw, runs) if characters else runs
                 at, kept = 0, []
                 for a, b in runs:
@@ -352,8 +402,8 @@ def suffix_dedup(docs: DataFrame, span: int = 400, characters: bool = False, hot
                 left = b"".join([*kept, raw[at:]])
                 for c, v in zip(out, (len(raw), len(raw) - len(left), len(runs), sha256(left).hexdigest(), left.decode("utf-8", "replace") if characters else None), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *carry])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), *batch.columns[4:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *carry])
 
     kind = StructType([*StructType.fromDDL(f"doc_id long, {_CUT}"), *need(whole, *carry).schema])
-    return whole.join(spans, "doc_id", "left").select("doc_id", "text", "spans", *[F.col(f"`{c}`") for c in carry]).mapInArrow(cut, kind)
+    return whole.join(spans, "doc_id", "left").select("doc_id", "text", "spans", "word_spans", *[F.col(f"`{c}`") for c in carry]).mapInArrow(cut, kind)
 

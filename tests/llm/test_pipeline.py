@@ -1,5 +1,6 @@
 """The pipeline's stages, each against brute force on what the stage before it kept."""
 
+import re
 from collections import Counter
 
 import corpus_pipeline as pipeline
@@ -8,6 +9,7 @@ import pytest
 from test_operators import SF, brute_exact, brute_near
 
 from quillspar.llm.common import stored
+from quillspar.llm.suffix_dedup import suffix_dedup
 
 
 def brute_passages(rows, span):
@@ -82,3 +84,57 @@ def test_stages_on_edge_cases(spark, empty):
         assert len(cut) == len(set(want["exact dedup"])) and (1, None) in cut and (None, "one two") in cut
         assert all(n == len(t) for (i, t), n in cut.items() if i in (6, 7) and t is not None) and all(len(t) < 20 for i, t in cut if i in (6, 7))
     assert (pipeline.packed(spark, both, SF).count() == 0) == empty
+
+
+def test_passages_of_short_words(spark):
+    """A passage of 51 words goes at any length in bytes and in any white space; one of 50 words stays."""
+    words = [a + b for a in "abcdefgh" for b in "klmnopqr"]
+    long, short = words[:51], words[13:63][::-1]
+    texts = {1: f"one {' '.join(long)} first", 2: "two " + "\n".join(long) + " second", 3: f"three {' '.join(short)} third", 4: f"four {' '.join(short)} fourth", 5: None, 6: "e " * 51 + "f"}
+    assert len(" ".join(long)) < pipeline.PASSAGE_BYTES
+    docs = spark.createDataFrame([(i, t, "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in pipeline.passages(spark, docs, SF).collect()}
+    want = texts | {1: "one  first", 2: "two  second"}
+    assert got == {i: (t, len(t or "")) for i, t in want.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_by_words(spark, seed):
+    """The words that are left are those outside every window of so many words that occurs twice."""
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 3000, 90) for _ in range(6)]
+    pieces = lambda: [w for k in rng.integers(0, 6, 3) for w in [*base[k][int(rng.integers(0, 40)) :][: int(rng.integers(20, 90))], rng.integers(9999)]]
+    texts = {i: " ".join(f"{w:x}" for w in pieces()) for i in range(25)}
+    seen = Counter(tuple(w[k : k + 51]) for t in texts.values() for w in [t.split()] for k in range(len(w) - 50))
+    want = {}
+    for i, t in texts.items():
+        w = t.split()
+        gone = {j for k in range(len(w) - 50) if seen[tuple(w[k : k + 51])] > 1 for j in range(k, k + 51)}
+        want[i] = [x for j, x in enumerate(w) if j not in gone]
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    got = suffix_dedup(docs, 100_000, characters=True, words=51).collect()
+    assert {r.doc_id: r.kept_text.split() for r in got} == want and any(want[i] != t.split() for i, t in texts.items())
+
+
+def test_passages_by_bytes_or_words(spark):
+    """On a whole table: characters go that a repeated string of 300 bytes or of 51 words covers, and no others."""
+    docs = stored(spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["text"]), "distinct")
+    raw = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    span, n = pipeline.PASSAGE_BYTES, pipeline.PASSAGE_WORDS
+    words = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for i, t in raw.items()}
+    windows = {i: [tuple(raw[i][a:b] for a, b in w[k : k + n]) for k in range(len(w) - n + 1)] for i, w in words.items()}
+    by_bytes = Counter(t[k : k + span] for t in raw.values() for k in range(len(t) - span + 1))
+    by_words = Counter(x for w in windows.values() for x in w)
+    want, more = {}, 0
+    for i, t in raw.items():
+        mask = np.zeros(len(t), bool)
+        for k in range(len(t) - span + 1):
+            mask[k : k + span] |= by_bytes[t[k : k + span]] > 1
+        before = mask.sum()
+        for k, x in enumerate(windows[i]):
+            mask[words[i][k][0] : words[i][k + n - 1][1]] |= by_words[x] > 1
+        more += mask.sum() - before
+        at = np.cumsum([0, *(len(c.encode()) for c in t.decode())])
+        want[i] = "".join(c for c, a, b in zip(t.decode(), at, at[1:]) if not mask[a:b].all())
+    got = {r.doc_id: r.text or "" for r in pipeline.passages(spark, docs, SF).collect()}
+    assert more > 0 and got == want
