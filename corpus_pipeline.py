@@ -34,6 +34,19 @@ def _staying(docs: DataFrame, found: DataFrame) -> DataFrame:
     return named.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where("doc_id is null"))
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """One row of each id and text, equal as in exact dedup; rows of a null id all stay. Only rows of repeated ids move, if there are any."""
+    held = _apart(docs, "doc_id", "text")
+    often = stored(held.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    if often.where("doc_id is not null").isEmpty():
+        return docs
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    again = held.join(often.where("doc_id is not null"), "doc_id", "left_semi").withColumn("text_sha256", F.sha2(clean.cast("binary"), 256))
+    others = held.join(often.where("doc_id is not null"), "doc_id", "left_anti").select(*held.columns)
+    one = again.dropDuplicates(["doc_id", "text_sha256"]).select(*held.columns)
+    return stored(one.union(others).toDF(*docs.columns), "once")  # which row stays is settled here
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go.
 
@@ -63,9 +76,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages (of 300 bytes, or of 51 words whatever their bytes) that occur elsewhere too are cut from every text; n_chars follows the text.
 
-    All rows stay. Null texts and rows of a null id stay as they are; rows that repeat each other, id and
-    all, lose what they share.
+    Of rows that repeat an id and a text, one stays, whole but for what other texts hold; all others stay. Null
+    texts and rows of a null id stay as they are.
     """
+    docs = _once(docs)
     held = _apart(docs, "doc_id", "text").withColumn("no_text", F.col("text").isNull())
     others = [c for c in held.columns if c not in ("doc_id", "text")]
     cut = suffix_dedup(held, span=PASSAGE_BYTES, characters=True, carry=tuple(others), words=PASSAGE_WORDS)

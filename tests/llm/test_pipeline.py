@@ -138,3 +138,17 @@ def test_passages_by_bytes_or_words(spark):
         want[i] = "".join(c for c, a, b in zip(t.decode(), at, at[1:]) if not mask[a:b].all())
     got = {r.doc_id: r.text or "" for r in pipeline.passages(spark, docs, SF).collect()}
     assert more > 0 and got == want
+
+
+def test_repeated_rows_leave_one_text(spark):
+    """Of a batch loaded twice, one whole text of each document is left after the passages stage, as of a single load."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"{w:x}" for w in rng.integers(0, 1 << 30, 120)) for _ in range(6)]
+    rows = [*enumerate(texts), *enumerate(texts[:4]), (0, texts[0].replace(" ", "\n")), (5, texts[4][:500]), (None, "x"), (None, "x")]
+    docs = spark.createDataFrame([(i, t, "s", len(t), "keep") for i, t in rows], "doc_id long, text string, source string, n_chars long, text_sha256 string")
+    for stage in (pipeline.exact, pipeline.near, pipeline.passages):
+        docs = stored(stage(spark, docs, SF), "twice")
+    got = docs.collect()
+    left = Counter((r.doc_id, " ".join(r.text.split())) for r in got)
+    assert {x: n for x, n in left.items() if x[0] in range(4)} == {(i, texts[i]): 1 for i in range(4)} and left[None, "x"] == 2
+    assert all(r.text_sha256 == "keep" and r.n_chars == len(r.text) for r in got)
