@@ -19,6 +19,8 @@ from quillspar.llm.toxicity import score_toxicity, train_chain
 PASSAGE_BYTES = 300
 #: So are passages of so many words, however short: all that have over fifty.
 PASSAGE_WORDS = 51
+#: Tables of the near-duplicate sketch: a lone pair at 0.8 is found with probability 0.9993.
+NEAR_TABLES = 11
 #: Words in a bin.
 BIN_WORDS = 2048
 
@@ -70,7 +72,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words are linked with nothing. Rows that share an id stay together; rows of a null id stay.
     """
-    return _staying(docs, near_duplicates(docs, words=5, num=80, den=100))
+    return _staying(docs, near_duplicates(docs, words=5, num=80, den=100, tables=NEAR_TABLES))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,7 +152,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     4. Components of confirmed links, then back from representatives to documents.
 
     With `tables`=8 and `rows`=3, a pair of similarity 0.85 shares a bucket with probability 0.999, and one
-    of 0.8 with 0.995; more similar pairs are surer still.
+    of 0.8 with 0.9936 (0.9993 with 11 tables); more similar pairs are surer still. A pair that shares none is
+    found only through others of its cluster.
 
     Null and empty texts, and those of white space, have no shingles, are linked with nothing, and stay. Rows
     that repeat a doc_id are one node. Rows without an id are left out. Other columns are not read.

@@ -9,6 +9,7 @@ import pytest
 from test_operators import SF, brute_exact, brute_near
 
 from quillspar.llm.common import stored
+from quillspar.llm.near_dedup import TensorSketch
 from quillspar.llm.suffix_dedup import suffix_dedup
 
 
@@ -152,3 +153,14 @@ def test_repeated_rows_leave_one_text(spark):
     left = Counter((r.doc_id, " ".join(r.text.split())) for r in got)
     assert {x: n for x, n in left.items() if x[0] in range(4)} == {(i, texts[i]): 1 for i in range(4)} and left[None, "x"] == 2
     assert all(r.text_sha256 == "keep" and r.n_chars == len(r.text) for r in got)
+
+
+def test_near_tables_find_pairs_at_the_threshold():
+    """Of 8,000 lone pairs at exactly 0.8, at most one in 500 shares no bucket."""
+    rng = np.random.default_rng(21)
+    tables, n = pipeline.NEAR_TABLES, 8000
+    sets = rng.integers(0, 1 << 63, (n, 10), dtype=np.uint64)  # eight shared shingles and one of each side's own
+    a, b = (TensorSketch(tables, 3).halves([np.sort(np.append(s[:8], s[k])) for s in sets]) for k in (8, 9))
+    same = a == b
+    found = same[:, :tables].any(axis=1) & same[:, tables:].any(axis=1)
+    assert (~found).sum() <= n / 500
