@@ -29,8 +29,10 @@ _TAIL = struct.Struct("<QQ8s")  # where the index starts, number of documents, m
 
 _MADE = pa.schema([("part", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
-#: Texts of these characters only are split here; all others go to the library whole.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
+#: Texts of these characters only are split here; all others go to the library whole. Characters that lower-case
+#: to others than these, as U+018F does, are not plain: the local pattern knows none of those as letters.
+_PLAIN_CHARS = "".join(c for c in map(chr, (*b"\t\n\r", *range(0x20, 0x7F), *range(0xA1, 0x250))) if all(x < "\u0250" for x in c.lower()))
+_PLAIN = re.compile(f"[{re.escape(_PLAIN_CHARS)}]*")
 
 
 @functools.lru_cache(2)

@@ -289,6 +289,17 @@ def test_token_store(spark, small):
     assert token_store.read_tokens(spark, empty).count() == 0
 
 
+def test_plain_characters_in_words():
+    """Every character that the local split takes as plain, and every other of that range, gives the library's ids in a word."""
+    path = queries.vocabulary("word_bpe_49k.json")
+    encoder, library = token_store.WordEncoder(path), token_store.tokenizer(path)
+    assert encoder.words is not None
+    chars = [chr(c) for c in range(0x20, 0x250)]
+    for t in [*(f for c in chars for f in (f"ba{c}ta", f"{c}li", f"AB{c}", f"x {c} y'{c}")), "Əli", "BAKƏ, Ə.", "ƁATA"]:
+        got = np.frombuffer(encoder.blob(t), encoder.kind).tolist()
+        assert got == library.encode(t, add_special_tokens=False).ids, t
+
+
 # ---- classifiers
 
 
