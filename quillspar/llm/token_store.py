@@ -105,6 +105,19 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: What a document gives to the training of the dictionary: pieces of so many bytes, and so many of them at most.
+PIECE_BYTES, PIECES = 1 << 13, 16
+
+
+def pieces(ids: bytes) -> list[bytes]:
+    """Serialized ids for training: whole if they are few, else pieces of equal distance from the first to the last."""
+    last = len(ids) - PIECE_BYTES
+    if last <= 0:
+        return [ids]
+    n = min(PIECES, -(-len(ids) // PIECE_BYTES))
+    return [ids[a : a + PIECE_BYTES] for a in (last * k // (n - 1) // 4 * 4 + last % 4 * (k == n - 1) for k in range(n))]
+
+
 def train_dictionary(docs: DataFrame, path: str, sample_docs: int, dict_bytes: int, end_id: int) -> bytes:
     """A zstandard dictionary trained on the serialized ids of a bounded sample: the rows least by a hash of the id."""
     import zstandard
@@ -112,9 +125,11 @@ def train_dictionary(docs: DataFrame, path: str, sample_docs: int, dict_bytes: i
     def ids(batches):
         enc = encoder(path, 700_000)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x + array(enc.kind, [end_id]).tobytes() for x in enc.blobs(b.column(0).to_pylist())], pa.binary())], names=["ids"])
+            for text in b.column(0):
+                own = pieces(enc.blob(text.as_py() or "") + array(enc.kind, [end_id]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], names=["ids"])
 
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select(F.substring("text", 1, 1 << 16).alias("text"))
+    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text")
     blobs = [bytes(r.ids) for r in sample.mapInArrow(ids, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(dict_bytes, blobs).as_bytes()
@@ -183,8 +198,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
 
     Documents are dealt to shards by ranges of doc_id and sorted within; each task encodes its shard, appends
     `end_id`, and streams frames into a file of its own, so memory holds one batch and the index. The
-    dictionary is trained on at most `dict_docs` documents, of at most 65,536 characters each, and is at most
-    `dict_bytes` large. The driver gets a row per shard. Null texts count as empty and give the end id alone;
+    dictionary is trained on at most `dict_docs` documents, encoded whole, of which each gives at most 16 pieces
+    of 8 KB of ids from all over it, and is at most `dict_bytes` large. The driver gets a row per shard. Null texts count as empty and give the end id alone;
     null ids come first; rows of equal ids keep together in no set order among equal texts. Ids are 16 bits
     wide if the vocabulary allows it, else 32. Other columns are not read.
     """

@@ -300,6 +300,21 @@ def test_plain_characters_in_words():
         assert got == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_dictionary_pieces_come_from_all_over(spark, monkeypatch):
+    for n in (2, 8192, 8194, 16_386, 300_002, 1_000_000):
+        ids = np.arange(n // 2).astype("<u2").tobytes()
+        got = token_store.pieces(ids)
+        at = [ids.index(p) if n < 1 << 17 else None for p in got]
+        assert len(got) <= 16 and sum(map(len, got)) <= max(n, 16 * 8192) + 8192 and got[0] == ids[: len(got[0])] and got[-1] == ids[-len(got[-1]) :]
+        assert all(len(p) % 2 == 0 for p in got) and all(a is None or a % 2 == 0 for a in at)
+    seen = []
+    monkeypatch.setattr("zstandard.train_dictionary", lambda size, blobs: seen.extend(blobs) or type("D", (), {"as_bytes": lambda self: b""})())
+    path = queries.vocabulary("word_bpe_49k.json")
+    token_store.train_dictionary(spark.createDataFrame([(1, "a " * 70_000 + "zebra")], "doc_id long, text string"), path, 500, 2048, 2)
+    tail = np.array([*token_store.tokenizer(path).encode("zebra", add_special_tokens=False).ids, 2], "<u2").tobytes()
+    assert seen[-1].endswith(tail) and len(seen) > 1
+
+
 # ---- classifiers
 
 
