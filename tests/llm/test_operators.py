@@ -356,6 +356,18 @@ def test_licences(spark, odd):
     assert licences.scan_licences(odd).count() == len(ODD) and licences.scan_licences(odd.limit(0)).count() == 0
 
 
+def test_licence_lines_of_documents_are_found(spark):
+    """Every licence line of the tables, and whole permission texts on one line, have a match."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    notice = re.compile(r"(?m)^(All rights reserved\.|Released under .*|Licensed under .*|This work is licensed under .*)$")
+    want = {r.doc_id: len(notice.findall(r.text or "")) for r in docs.collect()}
+    got = {r.doc_id: r.n_matches for r in licences.scan_licences(docs).collect()}
+    assert sum(want.values()) >= 300 and all(got[i] >= n for i, n in want.items())
+    whole = [(1, "All rights reserved.", "LicenseRef-reserved"), (2, licences._MIT, "MIT"), (3, f"{licences._MIT} {licences._MIT_KEPT} {licences._MIT_AS_IS}", "MIT"), (4, f"{licences._BSD}: {licences._BSD_KEPT} {licences._BSD_NAMES} {licences._BSD_AS_IS}", "BSD-3-Clause")]
+    found = by_id(licences.scan_licences(documents(spark, [w[:2] for w in whole])))
+    assert [(found[i].licence, found[i].n_matches) for i, _, _ in whole] == [(n, 1) for _, _, n in whole]
+
+
 def test_licence_pruning_loses_nothing():
     rng = np.random.default_rng(2)
     table = licences.Templates(licences.TEMPLATES, 80, 100)
