@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +37,6 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", f"{_BSD}: {_BSD_KEPT} {_BSD_NAMES}"),
     ("BSD-3-Clause", f"{_BSD}: {_BSD_KEPT} {_BSD_NAMES} {_BSD_AS_IS}"),
-    ("BSD-2-Clause", f"{_BSD}: {_BSD_KEPT}"),
     ("BSD-2-Clause", f"{_BSD}: {_BSD_KEPT} {_BSD_AS_IS}"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -46,6 +46,7 @@ TEMPLATES = (
     ("LicenseRef-reserved", "All rights reserved. No part of this text may be reproduced without permission."),
 )
 _WORD = re.compile(r"[a-z0-9]+")
+_BYTES = re.compile(rb"[a-z0-9]+")
 
 
 def bigrams(text: str) -> set[tuple[str, str]]:
@@ -63,6 +64,7 @@ class Templates:
         self.sizes = [x[0] for x in found]
         self.rows = found
         self.known: set = set().union(*(x[2] for x in found)) if found else set()
+        self.coded = [(m, name, {(x.encode(), y.encode()) for x, y in b}) for m, name, b in found]
 
     def bounds(self, n: int) -> tuple[int, int]:
         """Indices of templates of m bigrams with 2 min(m, n) / (m + n) at the threshold or above."""
@@ -84,7 +86,7 @@ class Templates:
 
 
 def _signs(table: Templates) -> list[str]:
-    """Fragments one of which every matching line has, in lower case: for each template, bigrams that cover it.
+    """Fragments one of which every matching text has, in lower case: for each template, bigrams that cover it.
 
     A match shares at least num/(2 den) of the template's bigrams, so it can't miss more than the rest of
     them: any larger set of its bigrams has one that is shared. Of those, the longest words are looked for.
@@ -98,13 +100,80 @@ def _signs(table: Templates) -> list[str]:
     return sorted(out)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of `bigrams`, in order: bytes.lower() changes A-Z alone."""
+    return _BYTES.findall((text or "").encode("utf-8", "surrogatepass").lower())
+
+
+def windows(pairs: list, own: set, num: int, den: int):
+    """(dice, first, last) of the best window from each bigram that starts one at the threshold or above.
+
+    Windows are runs of neighbouring bigrams `pairs[first : last + 1]`, whose distinct ones are compared with `own`.
+    They start and end at bigrams of `own`, and the first doesn't occur again in them: any other window
+    has one of these within it that is at least as good. Ties go to the shorter.
+    """
+    m = len(own)
+    least, most = -(-num * m // (2 * den - num)), m * (2 * den - num) // num
+    held: dict = {}  # bigrams from i up to where there are too many for a match
+    shared = until = 0
+    for i, start in enumerate(pairs):
+        while until < len(pairs) and (pairs[until] in held or len(held) < most):
+            g = pairs[until]
+            if g not in held:
+                held[g] = 0
+                shared += g in own
+            held[g] += 1
+            until += 1
+        if shared >= least and start in own:
+            seen, s, best = {start}, 1, (0.0, 0)
+            if 2 * den >= num * (m + 1):
+                best = (2 / (m + 1), -i)
+            for j in range(i + 1, until):
+                g = pairs[j]
+                if g == start:
+                    break
+                if g not in seen:
+                    seen.add(g)
+                    if g in own:
+                        s += 1
+                        if 2 * s * den >= num * (m + len(seen)):
+                            best = max(best, (2 * s / (m + len(seen)), -j))
+            if best[0]:
+                yield best[0], i, -best[1]
+        held[start] -= 1
+        if not held[start]:
+            del held[start]
+            shared -= start in own
+
+
+def matches(words: list[bytes], table: Templates) -> list[tuple[float, int, int, str]]:
+    """(-dice, first bigram, -last bigram, licence) of the windows that match, best first; none shares a word with a better one."""
+    pairs = list(zip(words, words[1:]))
+    every = set(pairs)
+    found = []
+    for m, name, own in table.coded:
+        if len(own & every) * (2 * table.den - table.num) >= table.num * m:
+            found += [(-dice, first, -last, name) for dice, first, last in windows(pairs, own, table.num, table.den)]
+    starts, ends, out = [], [], []  # of those taken, in order of the text
+    for x in sorted(found):
+        first, last = x[1], 1 - x[2]
+        k = bisect_right(starts, last)  # a window of bigrams [a, b] has the words [a, b + 1]
+        if not k or ends[k - 1] < first:
+            starts.insert(k, first)
+            ends.insert(k, last)
+            out.append(x)
+    return out
+
+
 def scan_licences(docs: DataFrame, templates=TEMPLATES, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_matches, licence, dice, line_no.
 
-    The units are the lines (cut at line feeds) of the whole text. A unit matches a template when the Dice
-    coefficient of their distinct word bigrams, 2 |A & B| / (|A| + |B|), is num/den or more; sizes alone rule
-    most templates out. `n_matches` counts the lines that match; licence, dice and line_no (from 1) are of
-    the best line (ties: earlier line, then name), null when none matches.
+    The units are windows of neighbouring words anywhere in the whole text, whatever lines they stand on: a notice
+    may be wrapped or stand within a sentence. A window matches a template when the Dice coefficient of their
+    distinct word bigrams, 2 |A & B| / (|A| + |B|), is num/den or more. Of each template, the best window from
+    each place counts (`windows`; sizes bound them); of windows that share a word, the best (ties: earlier,
+    then longer, then name). `n_matches` counts those; licence, dice and line_no (from 1, of the first word) are of the
+    best one, null when none matches. `n_lines` counts the lines, cut at line feeds.
 
     Null and empty texts have one empty line and no match. Repeated rows give repeated rows; ids may be null.
     Templates without a bigram are ignored. No shuffle; other columns are not read.
@@ -114,25 +183,16 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, num: int = 80, den: int
 
     def run(batches):
         table = Templates(templates, num, den)
-        most = max(table.sizes, default=0) * (2 * den - num) // num
-        # a line that matches holds a share of some template's words; most lines hold none of the rarer ones
-        signs = _signs(table)
+        # a text that matches holds a share of some template's words; most texts hold none of the rarer ones
+        signs = [w.encode() for w in _signs(table)]
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for text in b.column(1).to_pylist():
-                lines = (text or "").split("\n")
-                hits = []
-                for k, line in enumerate(lines, 1):
-                    low = line.lower()
-                    if not any(w in low for w in signs):
-                        continue
-                    unit = bigrams(line)
-                    if not unit or len(unit) > most or unit.isdisjoint(table.known):
-                        continue
-                    if found := table.best(unit):
-                        hits.append((-found[0], k, found[1]))
-                best = min(hits, default=None)
-                for c, v in zip(out, (len(lines), len(hits), best and best[2], best and -best[0], best and best[1]), strict=True):
+                raw = (text or "").encode("utf-8", "surrogatepass").lower()
+                hits = matches(words_of(text), table) if any(w in raw for w in signs) else []
+                best = hits[0] if hits else None
+                line = best and raw.count(b"\n", 0, next(islice(_BYTES.finditer(raw), best[1], None)).start()) + 1
+                for c, v in zip(out, (raw.count(b"\n") + 1, len(hits), best and best[3], best and -best[0], line), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64()), strict=True))], names=["doc_id", "n_lines", "n_matches", "licence", "dice", "line_no"])
 

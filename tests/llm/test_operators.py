@@ -368,6 +368,59 @@ def test_licence_lines_of_documents_are_found(spark):
     assert [(found[i].licence, found[i].n_matches) for i, _, _ in whole] == [(n, 1) for _, _, n in whole]
 
 
+def brute_windows(text, templates, num=80, den=100):
+    """All windows of all sizes: the best from each start for each template, then those that overlap no better one."""
+    w = re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    g = list(zip(w, w[1:]))
+    found = []
+    for name, t in templates:
+        own = licences.bigrams(t)
+        for a in range(len(g)):
+            best = None
+            for b in range(a, len(g)):
+                if g[a] in g[a + 1 : b + 1] or g[a] not in own:
+                    break
+                unit = set(g[a : b + 1])
+                both = len(unit & own)
+                if 2 * both * den >= num * (len(unit) + len(own)) and (best is None or 2 * both / (len(unit) + len(own)) > -best[0]):
+                    best = (-2 * both / (len(unit) + len(own)), a, -b, name)
+            found += [best] if best else []
+    out = []
+    for x in sorted(found):
+        if all(1 - x[2] < y[1] or 1 - y[2] < x[1] for y in out):
+            out.append(x)
+    return out
+
+
+def test_licence_windows():
+    rng = np.random.default_rng(9)
+    templates = [t for t in licences.TEMPLATES if len(t[1].split()) < 40]
+    table = licences.Templates(templates, 80, 100)
+    n = 0
+    for _ in range(150):
+        words = []
+        for _ in range(int(rng.integers(1, 4))):
+            part = templates[rng.integers(0, len(templates))][1].split()
+            for _ in range(int(rng.integers(0, 4))):
+                part[rng.integers(0, len(part))] = str(rng.choice(["zz", "the", "license", part[rng.integers(0, len(part))]]))
+            words += ["foo"] * int(rng.integers(0, 4)) + part * int(rng.integers(1, 3))
+        text = "".join(w + str(rng.choice([" ", "\n", ", "])) for w in words)
+        got = licences.matches(licences.words_of(text), table)
+        assert got == brute_windows(text, templates), text
+        n += len(got)
+    assert n > 150
+
+
+def test_licences_across_and_within_lines(spark):
+    import textwrap
+
+    prose = "tale of a long road and no end " * 30
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, "x\n" + textwrap.fill(dict(licences.TEMPLATES[2:3])["MIT"], 78)), (2, notice.replace("GNU ", "GNU\n")), (3, "This file is part of Foo and is licensed under the Apache License, Version 2.0."), (4, f"{prose}{notice} {prose}"), (5, prose), (6, "\n".join([prose, "All rights", "reserved."])), (7, textwrap.fill(licences._MIT, 60))]
+    got = {r.doc_id: tuple(r)[2:] for r in licences.scan_licences(documents(spark, rows)).collect()}
+    assert got == {1: (1, "MIT", 1.0, 2), 2: (1, "GPL-3.0-only", 1.0, 1), 3: (1, "Apache-2.0", 1.0, 1), 4: (1, "GPL-3.0-only", 1.0, 1), 5: (0, None, None, None), 6: (1, "LicenseRef-reserved", 1.0, 2), 7: (1, "MIT", 1.0, 1)}
+
+
 def test_licence_pruning_loses_nothing():
     rng = np.random.default_rng(2)
     table = licences.Templates(licences.TEMPLATES, 80, 100)
