@@ -244,7 +244,37 @@ def _window_hashes(span: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, span: int = 400, hot_contexts: int = 4000, task_bytes: int = 1 << 20) -> DataFrame:
+#: Bytes that stand for a word where repeats are judged by words.
+WORD_BYTES = 8
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, and how many words are before each text's end; the first is 0."""
+    inside = ~SPACE[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < len(data))]
+    begins[edges] = inside[edges]
+    ends[edges - 1] = inside[edges - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return RollingHash(data).of(start, end), np.searchsorted(start, offsets)
+
+
+def _code_words(batches):
+    """Texts as the hashes of their words, so that windows of bytes there are windows of words."""
+    for batch in batches:
+        data, offsets = texts_of(batch.column(1))
+        for first, last in in_blocks(offsets):
+            codes, at = word_codes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            raw = codes.tobytes()
+            texts = [raw[WORD_BYTES * a : WORD_BYTES * b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+
+def repeated_spans(docs: DataFrame, span: int = 400, hot_contexts: int = 4000, task_bytes: int = 1 << 20, words: bool = False) -> DataFrame:
     """(doc_id, spans: array of [first, last] window starts) of documents with strings that occur elsewhere.
 
     1. Every whole text is cut into runs of windows by anchors; a run's row is six numbers.
@@ -254,10 +284,12 @@ def repeated_spans(docs: DataFrame, span: int = 400, hot_contexts: int = 4000, t
     4. Keys of more than `hot_contexts` contexts don't meet in one task: their windows are counted by two
        64-bit hashes in an aggregate that combines before the shuffle.
 
-    docs needs a unique, non-null long doc_id and a text (null: empty), a string or bytes.
+    docs needs a unique, non-null long doc_id and a text (null: empty). With `words`, what is searched is the
+    hashes of its words instead (`_code_words`), coded in the same worker that reads them.
     """
     spark = docs.sparkSession
-    all_runs = stored(docs.mapInArrow(_find_anchors(span), _ANCHORS), "anchors")
+    find = _find_anchors(span)
+    all_runs = stored(docs.mapInArrow((lambda batches: find(_code_words(batches))) if words else find, _ANCHORS), "anchors")
     # written first, so that the join has two plain exchanges and adaptive execution can split a hot key
     keys = stored(all_runs.groupBy("key").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alone")).where("n > 1"), "keys")
     runs = stored(all_runs.join(keys.select("key", "alone"), "key"), "runs")
@@ -271,7 +303,9 @@ def repeated_spans(docs: DataFrame, span: int = 400, hot_contexts: int = 4000, t
     def content(batches):
         for batch in batches:
             for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                if words:
+                    raw = word_codes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes()
                 cols = [[r["key"] for r in rows], [r["context"] for r in rows], [r["anchor"] - r["first"] for r in rows], [r["m"] for r in rows], [raw[r["first"] : r["last"] + span] for r in rows]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["key", "context", "before", "m", "content"])
 
@@ -316,36 +350,6 @@ def to_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return out
 
 
-#: Bytes that stand for a word where repeats are judged by words.
-WORD_BYTES = 8
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, and how many words are before each text's end; the first is 0."""
-    inside = ~SPACE[data]
-    begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    ends[:-1] &= ~inside[1:]
-    edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < len(data))]
-    begins[edges] = inside[edges]
-    ends[edges - 1] = inside[edges - 1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return RollingHash(data).of(start, end), np.searchsorted(start, offsets)
-
-
-def _code_words(batches):
-    """Texts as the hashes of their words, so that windows of bytes there are windows of words."""
-    for batch in batches:
-        data, offsets = texts_of(batch.column(1))
-        for first, last in in_blocks(offsets):
-            codes, at = word_codes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-            raw = codes.tobytes()
-            texts = [raw[WORD_BYTES * a : WORD_BYTES * b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(texts, pa.binary())], names=["doc_id", "text"])
-
-
 def word_runs(raw: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
     """The bytes [start, end) that windows of words cover, of spans over word codes; those within a word's code don't count."""
     whole = [(-(-lo // WORD_BYTES), hi // WORD_BYTES) for lo, hi in spans]
@@ -382,8 +386,7 @@ def suffix_dedup(docs: DataFrame, span: int = 400, characters: bool = False, hot
     spans = stored(repeated_spans(rows, span, hot_contexts, task_bytes), "spans")
     by_words = spans.limit(0)
     if words:
-        coded = rows.mapInArrow(_code_words, "doc_id long, text binary")
-        by_words = stored(repeated_spans(coded, WORD_BYTES * words, hot_contexts, task_bytes), "word-spans")
+        by_words = stored(repeated_spans(rows, WORD_BYTES * words, hot_contexts, task_bytes, True), "word-spans")
     spans = spans.join(by_words.withColumnRenamed("spans", "word_spans"), "doc_id", "full_outer")
 
     def cut(batches):
