@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from hashlib import sha256
+import struct
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +84,10 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, span: int, width: in
     hashes = RollingHash(data)
     starts, ends = parse(data, offsets, hashes, width, modulus)
     last = ends == offsets[np.searchsorted(offsets, starts, "right")]  # phrases without a trigger at their end
-    code = hashes.of(starts, ends) ^ (last.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    _, at, phrase = np.unique(code, return_index=True, return_inverse=True)
+    known: dict[tuple[bytes, bool], int] = {}
+    raw = data.tobytes()
+    phrase = np.fromiter((known.setdefault((raw[a:b], c), len(known)) for a, b, c in zip(starts.tolist(), ends.tolist(), last.tolist(), strict=True)), np.int64, len(starts))
+    _, at = np.unique(phrase, return_index=True)
 
     # dictionary: its bytes, one phrase after the other, and ranks of all suffixes of phrases
     length = (ends - starts)[at]
@@ -112,13 +115,31 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, span: int, width: in
     order = np.argsort(rest.astype(np.uint64) << np.uint64(32) | then.astype(np.uint64), kind="stable")
     ordered = windows[order]
     codes = hashes.of(ordered, ordered + span)
-    same = np.flatnonzero(codes[1:] == codes[:-1])
-    for a in range(0, len(same), 20_000):  # the hash proposes, the bytes decide
-        part = same[a : a + 20_000]
-        wide = np.arange(span)
-        equal = (data[ordered[part][:, None] + wide] == data[ordered[part + 1][:, None] + wide]).all(axis=1)
-        out[ordered[part[equal]]] = True
-        out[ordered[part[equal] + 1]] = True
+    same = np.flatnonzero(codes[1:] == codes[:-1])  # the hash proposes, the bytes decide
+    one, two = np.minimum(ordered[same], ordered[same + 1]), np.maximum(ordered[same], ordered[same + 1])
+    equal = equal_windows(data, one, two, span)
+    out[one[equal]] = True
+    out[two[equal]] = True
+    return out
+
+
+def equal_windows(data: np.ndarray, one: np.ndarray, two: np.ndarray, span: int) -> np.ndarray:
+    """Whether the `span` bytes from one[k] are those from two[k]. Neighbouring pairs share their comparisons."""
+    n = len(one)
+    if not n:
+        return np.zeros(0, bool)
+    far = two - one
+    by = np.lexsort((one, far))
+    at, far = one[by], far[by]
+    new = np.append(True, (far[1:] != far[:-1]) | (at[1:] - at[:-1] > span))
+    begin, end = at[new], at[np.append(np.flatnonzero(new)[1:], n) - 1] + span
+    size = end - begin
+    first = np.cumsum(size) - size
+    index = np.arange(size.sum()) + np.repeat(begin - first, size)
+    unlike = np.concatenate([[0], np.cumsum(data[index] != data[index + np.repeat(far[new], size)])])
+    place = at + (first - begin)[np.cumsum(new) - 1]
+    out = np.empty(n, bool)
+    out[by] = unlike[place + span] == unlike[place]
     return out
 
 
@@ -139,7 +160,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarra
         return empty
     hashes = RollingHash(data)
     codes = hashes.every(half)
-    bits = np.uint64(max(20, int(len(data)).bit_length()))
+    bits = np.uint64(max(22, int(len(data)).bit_length()))
     packed = (codes >> bits << bits) | np.arange(len(codes), dtype=np.uint64)
     low, wide = packed, 1
     while 2 * wide <= span - half + 1:
@@ -161,14 +182,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarra
     return codes[at], context, first, last, at
 
 
-_ANCHORS = "key long, context long, doc_id long, first int, last int, anchor int"
+_ANCHORS = "key long, context long, node long, tag int, first int, last int, anchor int"
 
 
 def _find_anchors(span: int):
+    """(node, tag, text) batches as runs of windows."""
+
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            data, offsets = texts_of(batch.column(1))
+            nodes, tags = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            data, offsets = texts_of(batch.column(2))
             for a, b in in_blocks(offsets):
                 own = offsets[a : b + 1]
                 for at in range(own[0], max(own[0] + 1, own[-1] - span + 1), BLOCK_BYTES):  # a longer text in overlapping pieces
@@ -179,15 +202,20 @@ def _find_anchors(span: int):
                     doc = np.searchsorted(own, first + at, "right") - 1
                     shift = at - own[doc]
                     if len(key):
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[a + doc]), *(pa.array((x + shift).astype(np.int32)) for x in (first, last, anchor))], names=["key", "context", "doc_id", "first", "last", "anchor"])
+                        places = (pa.array((x + shift).astype(np.int32)) for x in (first, last, anchor))
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(nodes[a + doc]), pa.array(tags[a + doc]), *places], names=["key", "context", "node", "tag", "first", "last", "anchor"])
                     if b - a > 1:
                         break
 
     return run
 
 
-_MEMBERS = "key long, context long, before int, after int, n long, content binary"
-_FOUND = "key long, context long, lo int, hi int"
+#: A part of a content: its key, context, first and last window in the text, and anchor, 8 bytes each.
+_PART = struct.Struct("<5q")
+_CONTENTS = pa.schema([("route", pa.int64()), ("base", pa.int32()), ("content", pa.binary()), ("parts", pa.binary())])
+_FOUND = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+#: Into so many ranges of distances from the anchor the windows of a key of many contexts are split.
+RANGES = 8
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,31 +223,93 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def contents_of(raw: bytes, wanted: list[tuple], span: int, split_contexts: int) -> list[tuple[int, int, bytes, bytes]]:
+    """(route, base, content, parts) of the runs (route, first, last, anchor, key, context, m, main) that a text is asked for.
+
+    m is 0 for runs whose key has one context. Of those, runs that follow one another on the same route are one
+    content, as their windows are one piece of the text. Runs of a key of more than `split_contexts` contexts are
+    split by the windows' distance from the anchor, and each range of distances is routed by the bytes that all
+    its windows hold; equal windows stand at the same distance and hold the same bytes, so they still meet.
+    """
+    half, out = span // 2, []
+    chain: list = []  # route, first, last, parts
+
+    def close():
+        if chain:
+            out.append((chain[0], chain[1], raw[chain[1] : chain[2] + span], b"".join(chain[3])))
+            chain.clear()
+
+    for route, first, last, anchor, key, context, m, main in sorted(wanted):
+        part = [_PART.pack(key, context, first, last, anchor)] if main else []
+        if m > split_contexts:
+            rest = span - half  # windows start 0 to `rest` bytes before their anchor
+            for k in range(RANGES):
+                near, far = (rest + 1) * k // RANGES, (rest + 1) * (k + 1) // RANGES - 1
+                a, b = max(first, anchor - far), min(last, anchor - near)
+                if a <= b:
+                    core = raw[anchor - near : anchor + half + rest - far]
+                    own = int.from_bytes(blake2b(core, digest_size=8, salt=bytes([k])).digest(), "little", signed=True)
+                    out.append((own, a, raw[a : b + span], _PART.pack(key, context, a, b, anchor) if main else b""))
+            continue
+        if chain and m == 0 and chain[0] == route and chain[2] + 1 == first:
+            chain[2] = last
+            chain[3] += part
+            continue
+        close()
+        chain[:] = [route, first, last, part]
+        if m:
+            close()
+    close()
+    return out
+
+
+def _contents(span: int, split_contexts: int, words: bool):
+    """(node, tag, text, wanted) batches as contents. Of rows that repeat an id and a text, a task sends two."""
+
+    def run(batches):
+        sent: dict = {}
+        for batch in batches:
+            for node, tag, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                if wanted[0]["often"]:
+                    sent[node, tag] = sent.get((node, tag), 0) + 1
+                    if sent[node, tag] > 2:
+                        continue
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                if words:
+                    raw = word_codes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes()
+                rows = contents_of(raw, [tuple(w[c] for c in ("route", "first", "last", "anchor", "key", "context", "m", "main")) for w in wanted], span, split_contexts)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CONTENTS, strict=True)], schema=_CONTENTS)
+
+    return run
+
+
 def _search(span: int, task_bytes: int):
-    """Over rows sorted by key: whole groups of a key, as many as fit, are searched together."""
+    """Over contents sorted by route: whole routes, as many as fit, are searched together."""
 
     def found(rows: list):
-        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])
+        data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])])
         mask = repeated_windows(data, offsets, span)
         out = []
-        for k, (key, context, before, _) in enumerate(rows):
-            lo, hi = _runs(mask[offsets[k] : offsets[k + 1]])
-            out += [(key, context, int(a) - before, int(b) - 1 - before) for a, b in zip(lo, hi, strict=True)]
+        for (_, base, _, parts), start in zip(rows, offsets.tolist(), strict=False):
+            for key, context, first, last, anchor in np.frombuffer(parts, np.int64).reshape(-1, 5).tolist():
+                lo, hi = _runs(mask[start + first - base : start + last - base + 1])
+                out += [(key, context, int(a) + first - anchor, int(b) - 1 + first - anchor) for a, b in zip(lo, hi, strict=True)]
         cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "context", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FOUND, strict=True)], schema=_FOUND)
 
     def run(batches):
         held, size, group, group_size = [], 0, [], 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "context", "before", "content")), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if group and group[0][0] != r[0]:
                     if held and size + group_size > task_bytes:
                         yield found(held)
                         held, size = [], 0
                     held, size, group, group_size = held + group, size + group_size, [], 0
                 group.append(r)
-                group_size += len(r[3])
+                group_size += len(r[2])
         if held and size + group_size > task_bytes:
             yield found(held)
             held = []
@@ -229,21 +319,6 @@ def _search(span: int, task_bytes: int):
     return run
 
 
-def _window_hashes(span: int):
-    """Two hashes of every window of a context: for keys of too many contexts for one task."""
-
-    def run(batches):
-        for batch in batches:
-            for key, context, before, content in zip(*(batch.column(c).to_pylist() for c in ("key", "context", "before", "content")), strict=True):
-                data = np.frombuffer(content, np.uint8)
-                h1 = RollingHash(data).every(span)
-                h2 = RollingHash(data[::-1]).every(span)[::-1]
-                n = len(h1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, context)), pa.array((np.arange(n) - before).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["key", "context", "at", "h1", "h2"])
-
-    return run
-
-
 #: Bytes that stand for a word where repeats are judged by words.
 WORD_BYTES = 8
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -266,64 +341,58 @@ def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def _code_words(batches):
     """Texts as the hashes of their words, so that windows of bytes there are windows of words."""
     for batch in batches:
-        data, offsets = texts_of(batch.column(1))
+        data, offsets = texts_of(batch.column(2))
         for first, last in in_blocks(offsets):
             codes, at = word_codes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             raw = codes.tobytes()
             texts = [raw[WORD_BYTES * a : WORD_BYTES * b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(texts, pa.binary())], names=["node", "tag", "text"])
 
 
-def repeated_spans(docs: DataFrame, span: int = 400, hot_contexts: int = 4000, task_bytes: int = 1 << 20, words: bool = False) -> DataFrame:
-    """(doc_id, spans: array of [first, last] window starts) of documents with strings that occur elsewhere.
+def repeated_spans(docs: DataFrame, span: int = 400, split_contexts: int = 4000, task_bytes: int = 1 << 20, words: bool = False) -> DataFrame:
+    """(node, tag, spans: array of [lo, hi] window starts) of texts with strings that occur elsewhere.
 
-    1. Every whole text is cut into runs of windows by anchors; a run's row is six numbers.
-    2. Runs whose key occurs once end here. Of the others, equal contexts count as one.
-    3. A context that occurs twice is repeated as a whole. For keys of several contexts, one text of each
-       context goes to the task of its key, and `repeated_windows` finds what they share.
-    4. Keys of more than `hot_contexts` contexts don't meet in one task: their windows are counted by two
-       64-bit hashes in an aggregate that combines before the shuffle.
+    docs has (node, tag, text); rows of one node and tag hold the same text. Hashes only bring equal strings
+    together; which windows are repeated, the suffix arrays decide, on bytes.
 
-    docs needs a unique, non-null long doc_id and a text (null: empty). With `words`, what is searched is the
-    hashes of its words instead (`_code_words`), coded in the same worker that reads them.
+    1. Every whole text is cut into runs of windows by anchors; a run's row is seven numbers. A window belongs to
+       one run, and equal windows have the same key.
+    2. Runs whose key occurs once end here.
+    3. Of runs of one key and context, the first and the last send their text: they confirm each other. Where a
+       key has one context, the two go to a route of their two documents, on which neighbouring runs are one
+       piece of text; where it has several, all meet on the key's route (see `contents_of` for very many).
+    4. A task runs `repeated_windows` over whole routes. What it finds for a context holds for its other runs.
+
+    A row holds the runs of one document at most, which grow as its text does. With `words`, what is searched is
+    the hashes of a text's words instead (`_code_words`), coded in the same worker that reads them.
     """
     spark = docs.sparkSession
     find = _find_anchors(span)
     all_runs = stored(docs.mapInArrow((lambda batches: find(_code_words(batches))) if words else find, _ANCHORS), "anchors")
     # written first, so that the join has two plain exchanges and adaptive execution can split a hot key
-    keys = stored(all_runs.groupBy("key").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alone")).where("n > 1"), "keys")
-    runs = stored(all_runs.join(keys.select("key", "alone"), "key"), "runs")
-    contexts = runs.groupBy("key", "context", "alone").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "last", "anchor")).alias("where"))
-    contexts = stored(contexts.select("key", "context", "alone", "n", "where.*"), "contexts")
-
-    several = contexts.where("not alone")
-    counts = several.groupBy("key").agg(F.count("*").alias("m"))
-    wanted = several.join(counts, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "context", "n", "m", "first", "last", "anchor")).alias("wanted"))
+    keys = stored(all_runs.groupBy("key").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alone")).where("n > 1").select("key", "alone"), "keys")
+    runs = stored(all_runs.join(keys, "key"), "runs")
+
+    place = F.struct("node", "tag", "first", "last", "anchor")
+    contexts = runs.groupBy("key", "context", "alone").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b"))
+    per_key = runs.where("not alone").select("key", "context").distinct().groupBy("key").agg(F.count("*").cast("int").alias("m"))
+    contexts = contexts.join(per_key, "key", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    route = F.when(F.col("alone"), F.xxhash64("a.node", "a.tag", "b.node", "b.tag")).otherwise(F.col("key"))
+    same = F.col("a") == F.col("b")
+
+    def sender(of: str, main: bool):
+        return F.struct(*[F.col(f"{of}.{c}") for c in ("node", "tag")], route.alias("route"), *[F.col(f"{of}.{c}") for c in ("first", "last", "anchor")], F.col("key"), F.col("context"), F.col("m"), F.lit(main).alias("main"), ((F.col("n") > 1) & same).alias("often"))
+
+    both = F.when((F.col("n") > 1) & ~same, F.array(sender("a", True), sender("b", False))).otherwise(F.array(sender("a", True)))
+    asked = contexts.select(F.explode(both).alias("s")).select("s.*")
+    wanted = asked.groupBy("node", "tag").agg(F.collect_list(F.struct(*asked.columns[2:])).alias("wanted"))
+    sent = docs.join(wanted, ["node", "tag"]).select("node", "tag", "text", "wanted").mapInArrow(_contents(span, split_contexts, words), "route long, base int, content binary, parts binary")
+    found = sent.repartition(partitions(spark), "route").sortWithinPartitions("route").mapInArrow(_search(span, task_bytes), "key long, context long, lo int, hi int")
+    verdicts = stored(found.groupBy("key", "context").agg(F.collect_list(F.struct("lo", "hi")).alias("parts")), "verdicts")
 
-    def content(batches):
-        for batch in batches:
-            for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                if words:
-                    raw = word_codes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes()
-                cols = [[r["key"] for r in rows], [r["context"] for r in rows], [r["anchor"] - r["first"] for r in rows], [r["m"] for r in rows], [raw[r["first"] : r["last"] + span] for r in rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["key", "context", "before", "m", "content"])
-
-    members = stored(docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(content, "key long, context long, before int, m long, content binary"), "members")
-    together = members.where(F.col("m") <= hot_contexts).drop("m").repartition(partitions(spark), "key").sortWithinPartitions("key")
-    found = together.mapInArrow(_search(span, task_bytes), _FOUND)
-    windows = members.where(F.col("m") > hot_contexts).drop("m").mapInArrow(_window_hashes(span), "key long, context long, at int, h1 long, h2 long")
-    again = windows.groupBy("key", "at", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hot = windows.join(again, ["key", "at", "h1", "h2"]).select("key", "context", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    parts = found.unionByName(hot).groupBy("key", "context").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
-    whole = contexts.where("n > 1").select("key", "context", F.lit(True).alias("whole"))
-    verdicts = whole.join(parts, ["key", "context"], "full_outer")
-
-    hits = runs.join(verdicts, ["key", "context"])
-    own = F.array(F.struct(F.col("first").alias("lo"), F.col("last").alias("hi")))
     moved = F.transform("parts", lambda p: F.struct((p["lo"] + F.col("anchor")).alias("lo"), (p["hi"] + F.col("anchor")).alias("hi")))
-    hits = hits.select("doc_id", F.when(F.col("whole"), own).otherwise(moved).alias("spans"))
-    return hits.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    hits = runs.join(verdicts, ["key", "context"]).select("node", "tag", moved.alias("spans"))
+    return hits.groupBy("node", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:
@@ -361,12 +430,12 @@ def word_runs(raw: bytes, spans: list[tuple[int, int]], words: int) -> list[tupl
 _CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def suffix_dedup(docs: DataFrame, span: int = 400, characters: bool = False, hot_contexts: int = 4000, task_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words: int = 0) -> DataFrame:
+def suffix_dedup(docs: DataFrame, span: int = 400, characters: bool = False, split_contexts: int = 4000, task_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words: int = 0) -> DataFrame:
     r"""Remove every byte of a string of `span` bytes that also starts anywhere else, in any document or the same.
 
-    With `words`, every string of so many words `[^\x20\x09-\x0D]+` that also occurs elsewhere goes too, from its
-    first word to its last, however short in bytes and whatever white space stands between its words. Words are
-    compared by 64-bit hashes in the same search.
+    With `words`, strings of so many words `[^\x20\x09-\x0D]+` are searched instead: each that also occurs elsewhere
+    goes, from its first word to its last, however short in bytes and whatever white space stands between its
+    words. Words are compared by 64-bit hashes; `span` isn't used then.
 
     One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and
     kept_text. With `characters`, only characters that are covered as a whole go, so that what is left is
@@ -374,29 +443,25 @@ def suffix_dedup(docs: DataFrame, span: int = 400, characters: bool = False, hot
 
     Texts are UTF-8 bytes, null counts as empty; texts shorter than `span` stay as they are. Overlaps count,
     matches never cross documents, and strings are judged on the input. All copies of a passage go, the
-    first as well. Rows of a null id are left out. A row that repeats another one, id and all, is a text of
-    its own, so what both hold is repeated; what is found for an id is cut from all its rows. An empty table
-    gives an empty result. The columns `carry` names follow, as they are; no others are read.
+    first as well. Every row is a document of its own: ids may be null or repeated, and a row that repeats
+    another one, id and all, holds what the other holds. Rows are told apart by their id and a hash of their text.
+    An empty table gives an empty result. The columns `carry` names follow, as they are; no others are read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    own = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
-    whole = docs.select(*own, *[F.col(f"`{c}`") for c in carry]).where("doc_id is not null")
-    rows = need(whole, "doc_id", "text")
-    spans = stored(repeated_spans(rows, span, hot_contexts, task_bytes), "spans")
-    by_words = spans.limit(0)
-    if words:
-        by_words = stored(repeated_spans(rows, WORD_BYTES * words, hot_contexts, task_bytes, True), "word-spans")
-    spans = spans.join(by_words.withColumnRenamed("spans", "word_spans"), "doc_id", "full_outer")
+    small_batches(docs.sparkSession)
+    span = WORD_BYTES * words if words else span
+    text = F.col(f"`{text_col}`")
+    own = F.col(f"`{id_col}`").cast("long")
+    held = [f"carry_{k}" for k in range(len(carry))]  # names of their own, so that none can clash
+    whole = docs.select(F.coalesce(own, F.xxhash64(text)).alias("node"), F.hash(own.isNull(), text).alias("tag"), own.alias("doc_id"), text.alias("text"), *[F.col(f"`{c}`").alias(h) for c, h in zip(carry, held, strict=True)])
+    spans = repeated_spans(whole.select("node", "tag", "text"), span, split_contexts, task_bytes, bool(words))
 
     def cut(batches):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for text, found, worded in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+            for text, found in zip(*(batch.column(c).to_pylist() for c in (1, 2)), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                runs = [(a, min(b, len(raw))) for a, b in merged([(s["lo"], s["hi"]) for s in found or []], span) if a < len(raw)]
-                if worded:
-                    runs = merged(runs + word_runs(raw, [(s["lo"], s["hi"]) for s in worded], words), 0)
+                windows = [(s["lo"], s["hi"]) for s in found or []]
+                runs = word_runs(raw, windows, words) if words else merged(windows, span)
                 runs = to_characters(raw, runs) if characters else runs
                 at, kept = 0, []
                 for a, b in runs:
@@ -405,8 +470,8 @@ def suffix_dedup(docs: DataFrame, span: int = 400, characters: bool = False, hot
                 left = b"".join([*kept, raw[at:]])
                 for c, v in zip(out, (len(raw), len(raw) - len(left), len(runs), sha256(left).hexdigest(), left.decode("utf-8", "replace") if characters else None), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), *batch.columns[4:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *carry])
-
-    kind = StructType([*StructType.fromDDL(f"doc_id long, {_CUT}"), *need(whole, *carry).schema])
-    return whole.join(spans, "doc_id", "left").select("doc_id", "text", "spans", "word_spans", *[F.col(f"`{c}`") for c in carry]).mapInArrow(cut, kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *held])
 
+    kind = StructType([*StructType.fromDDL(f"doc_id long, {_CUT}"), *whole.select(*held).schema])
+    done = whole.join(spans, ["node", "tag"], "left").select("doc_id", "text", "spans", *held).mapInArrow(cut, kind)
+    return done.toDF(*done.columns[:6], *carry)

@@ -70,25 +70,64 @@ def test_grace_compares_contents():
 
 
 def brute_spans(rows, span):
-    raw = {i: (t or "").encode() for i, t in rows}
-    seen = Counter(t[k : k + span] for t in raw.values() for k in range(len(t) - span + 1))
-    out = {}
-    for i, t in raw.items():
+    """A row for each row, in any order: ids may be null or repeated, and every row is a document."""
+    raw = [(t or "").encode() for _, t in rows]
+    seen = Counter(t[k : k + span] for t in raw for k in range(len(t) - span + 1))
+    out = []
+    for (i, _), t in zip(rows, raw):
         mask = np.zeros(len(t), bool)
         for k in range(len(t) - span + 1):
             if seen[t[k : k + span]] > 1:
                 mask[k : k + span] = True
         kept = bytes(np.frombuffer(t, np.uint8)[~mask])
         runs = int(np.sum(np.diff(np.concatenate([[0], mask.astype(int)])) == 1))
-        out[i] = (len(t), int(mask.sum()), runs, sha256(kept).hexdigest())
-    return out
+        out.append((i, len(t), int(mask.sum()), runs, sha256(kept).hexdigest()))
+    return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [4000, 1])
-def test_suffix_dedup(spark, small, hot):
+@pytest.mark.parametrize("split", [4000, 1])
+def test_suffix_dedup(spark, small, split):
     rows = small + [(10_000 + i, t) for i, t in ODD]
-    got = suffix_dedup.suffix_dedup(documents(spark, rows), 400, hot_contexts=hot).drop("kept_text")
-    assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == brute_spans(rows, 400)
+    got = suffix_dedup.suffix_dedup(documents(spark, rows), 400, split_contexts=split).drop("kept_text")
+    assert Counter(tuple(r) for r in got.collect()) == brute_spans(rows, 400)
+
+
+@pytest.mark.parametrize("split", [4000, 1])
+def test_suffix_dedup_of_repeated_and_null_ids(spark, split):
+    """Rows of one id and other texts, whole rows twice or three times, and null ids: every row is a document of its own."""
+    rng = np.random.default_rng(8)
+    own = ["".join(map(chr, rng.integers(97, 123, 1300))) for _ in range(9)]
+    rows = [(1, own[0]), (1, own[1][:700] + own[2]), (1, own[2]), (2, "x" + own[1][:650]), (3, own[3]), (3, own[3]), (4, own[4]), (4, own[4]), (4, own[4]), (4, "y" + own[4][300:]), (None, own[5]), (None, own[5][800:] + own[6]), (None, None), (None, own[7]), (None, own[7]), (5, None), (5, ""), (6, own[8])]
+    got = suffix_dedup.suffix_dedup(documents(spark, rows), 400, split_contexts=split).drop("kept_text")
+    want = brute_spans(rows, 400)
+    assert Counter(tuple(r) for r in got.collect()) == want and sum(r[2] for r in want) > 9000
+    assert suffix_dedup.suffix_dedup(documents(spark, rows).limit(0), 400).count() == 0
+
+
+def test_suffix_arrays_decide(spark, small, monkeypatch):
+    """Without what the suffix arrays find, nothing is removed, whole copies included."""
+    rows = small[:80] + [(10_000 + i, t) for i, t in small[:80]]
+    monkeypatch.setattr(suffix_dedup, "_search", lambda *a: lambda batches: (b for b in ()))
+    got = suffix_dedup.suffix_dedup(documents(spark, rows), 400).collect()
+    assert len(got) == 160 and not any(r.n_removed for r in got)
+
+
+def test_contents_of_a_hot_key():
+    """Split by ranges of distances, every window is sent once, and equal windows on the same route."""
+    rng = np.random.default_rng(6)
+    key = bytes(rng.integers(97, 123, 20).astype(np.uint8))
+    routes = defaultdict(set)
+    for _ in range(60):
+        raw = bytes(rng.integers(97, 99, 25).astype(np.uint8)) + key + bytes(rng.integers(97, 99, 25).astype(np.uint8))
+        rows = suffix_dedup.contents_of(raw, [(5, 5, 25, 25, 7, 8, 100, True)], 40, 99)
+        starts = [k for _, base, content, _ in rows for k in range(base, base + len(content) - 39)]
+        assert sorted(starts) == list(range(5, 26))
+        for route, base, content, parts in rows:
+            first, last = suffix_dedup._PART.unpack(parts)[2:4]
+            assert (base, len(content)) == (first, last - first + 40)
+            for k in range(base, last + 1):
+                routes[25 - k, raw[k : k + 40]].add(route)
+    assert all(len(r) == 1 for r in routes.values()) and len({r for x in routes.values() for r in x}) > 20
 
 
 def test_suffix_dedup_in_characters(spark):
@@ -106,11 +145,11 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     import pyarrow as pa
 
     def found():
-        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["doc_id", "text"])
+        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows])], names=["node", "tag", "text"])
         cover = np.zeros(30_000, int)
         keys = defaultdict(set)
         for b in run([batch]):
-            for k, _, d, first, last, at in zip(*(c.to_pylist() for c in b.columns)):
+            for k, _, d, _, first, last, at in zip(*(c.to_pylist() for c in b.columns)):
                 cover[first : last + 1] += d == 1
                 keys[d].update((k, p - at) for p in range(first, last + 1))
         return cover, keys
