@@ -15,9 +15,7 @@ from quillspar.llm.packing import pack
 from quillspar.llm.suffix_dedup import suffix_dedup
 from quillspar.llm.toxicity import score_toxicity, train_chain
 
-#: Passages of so many bytes that occur elsewhere too are cut.
-PASSAGE_BYTES = 300
-#: So are passages of so many words, however short: all that have over fifty.
+#: Passages of so many words that occur elsewhere too are cut, however short in bytes: all that have over fifty.
 PASSAGE_WORDS = 51
 #: Tables of the near-duplicate sketch: a lone pair at 0.8 is found with probability 0.9993.
 NEAR_TABLES = 11
@@ -76,7 +74,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages (of 300 bytes, or of 51 words whatever their bytes) that occur elsewhere too are cut from every text; n_chars follows the text.
+    """Passages of 51 words or more that occur elsewhere too are cut from every text; n_chars follows the text.
+
+    They are judged by words alone: shorter strings that documents share stay, whatever their bytes.
 
     Of rows that repeat an id and a text, one stays, whole but for what other texts hold; all others stay. Null
     texts and rows of a null id stay as they are.
@@ -84,7 +84,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _once(docs)
     held = _apart(docs, "doc_id", "text").withColumn("no_text", F.col("text").isNull())
     others = [c for c in held.columns if c not in ("doc_id", "text")]
-    cut = suffix_dedup(held, span=PASSAGE_BYTES, characters=True, carry=tuple(others), words=PASSAGE_WORDS)
+    cut = suffix_dedup(held.where("doc_id is not null"), characters=True, carry=tuple(others), words=PASSAGE_WORDS)
     changed = F.col("n_removed") > 0
     values = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("no_text"), F.col("kept_text"))}
     values |= {c: F.col(h) for c, h in zip(docs.columns, held.columns) if c not in values}
