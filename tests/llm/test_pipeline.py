@@ -13,21 +13,18 @@ from quillspar.llm.near_dedup import TensorSketch
 from quillspar.llm.suffix_dedup import suffix_dedup
 
 
-def brute_passages(rows, span):
+def brute_passages(rows, n):
+    """What is left when every string of n words that also occurs elsewhere goes, from its first word to its last."""
     raw = {i: (t or "").encode() for i, t in rows}
-    seen = Counter(t[k : k + span] for t in raw.values() for k in range(len(t) - span + 1))
+    words = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for i, t in raw.items()}
+    windows = {i: [tuple(raw[i][a:b] for a, b in w[k : k + n]) for k in range(len(w) - n + 1)] for i, w in words.items()}
+    seen = Counter(x for w in windows.values() for x in w)
     out = {}
     for i, t in raw.items():
         mask = np.zeros(len(t), bool)
-        for k in range(len(t) - span + 1):
-            if seen[t[k : k + span]] > 1:
-                mask[k : k + span] = True
-        at, kept = 0, []
-        for c in t.decode():  # characters go as a whole or stay
-            n = len(c.encode())
-            kept += [] if mask[at : at + n].all() else [c]
-            at += n
-        out[i] = "".join(kept)
+        for k, x in enumerate(windows[i]):
+            mask[words[i][k][0] : words[i][k + n - 1][1]] |= seen[x] > 1
+        out[i] = bytes(np.frombuffer(t, np.uint8)[~mask]).decode()
     return out
 
 
@@ -48,7 +45,7 @@ def test_stages(spark):
     rows = [(r.doc_id, r.text) for r in near.collect()]
     cut = stored(stages["suffix-array dedup"](spark, near, SF), "c")
     assert cut.columns == docs.columns
-    assert {r.doc_id: r.text for r in cut.collect()} == brute_passages(rows, pipeline.PASSAGE_BYTES)
+    assert {r.doc_id: r.text for r in cut.collect()} == brute_passages(rows, pipeline.PASSAGE_WORDS)
     words = {r.doc_id: len(r.text.split()) for r in cut.collect()}
     placed = Counter()
     for r in stages["best-fit packing"](spark, cut, SF).collect():
@@ -92,7 +89,7 @@ def test_passages_of_short_words(spark):
     words = [a + b for a in "abcdefgh" for b in "klmnopqr"]
     long, short = words[:51], words[13:63][::-1]
     texts = {1: f"one {' '.join(long)} first", 2: "two " + "\n".join(long) + " second", 3: f"three {' '.join(short)} third", 4: f"four {' '.join(short)} fourth", 5: None, 6: "e " * 51 + "f"}
-    assert len(" ".join(long)) < pipeline.PASSAGE_BYTES
+    assert len(" ".join(long)) < 300
     docs = spark.createDataFrame([(i, t, "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in pipeline.passages(spark, docs, SF).collect()}
     want = texts | {1: "one  first", 2: "two  second"}
@@ -117,28 +114,16 @@ def test_passages_by_words(spark, seed):
     assert {r.doc_id: r.kept_text.split() for r in got} == want and any(want[i] != t.split() for i, t in texts.items())
 
 
-def test_passages_by_bytes_or_words(spark):
-    """On a whole table: characters go that a repeated string of 300 bytes or of 51 words covers, and no others."""
+def test_passages_of_a_whole_table(spark):
+    """What goes is what repeated strings of 51 words cover, and nothing else; a repeated string of many bytes and fewer words stays."""
     docs = stored(spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["text"]), "distinct")
-    raw = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
-    span, n = pipeline.PASSAGE_BYTES, pipeline.PASSAGE_WORDS
-    words = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for i, t in raw.items()}
-    windows = {i: [tuple(raw[i][a:b] for a, b in w[k : k + n]) for k in range(len(w) - n + 1)] for i, w in words.items()}
-    by_bytes = Counter(t[k : k + span] for t in raw.values() for k in range(len(t) - span + 1))
-    by_words = Counter(x for w in windows.values() for x in w)
-    want, more = {}, 0
-    for i, t in raw.items():
-        mask = np.zeros(len(t), bool)
-        for k in range(len(t) - span + 1):
-            mask[k : k + span] |= by_bytes[t[k : k + span]] > 1
-        before = mask.sum()
-        for k, x in enumerate(windows[i]):
-            mask[words[i][k][0] : words[i][k + n - 1][1]] |= by_words[x] > 1
-        more += mask.sum() - before
-        at = np.cumsum([0, *(len(c.encode()) for c in t.decode())])
-        want[i] = "".join(c for c, a, b in zip(t.decode(), at, at[1:]) if not mask[a:b].all())
+    long = " ".join(f"{k:020d}" for k in range(50))
+    more = spark.createDataFrame([(90_001, f"a {long} b", "en", "s", 1), (90_002, f"c {long} d", "en", "s", 1)], docs.schema)
+    docs = docs.union(more)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute_passages(rows, pipeline.PASSAGE_WORDS)
     got = {r.doc_id: r.text or "" for r in pipeline.passages(spark, docs, SF).collect()}
-    assert more > 0 and got == want
+    assert got == want and any(want[i] != (t or "") for i, t in rows) and want[90_001] == f"a {long} b"
 
 
 def test_repeated_rows_leave_one_text(spark):
