@@ -226,7 +226,7 @@ def test_forest(spark):
     odd = [(5001, None), (5002, [0.0] * 32), (5003, [float("nan")] * 32), (5004, [None] * 32), (5005, [1.0])]
     df = spark.createDataFrame(points + odd, "vec_id long, embedding array<double>")
     got = defaultdict(list)
-    for r in forest.search(df, df.where("vec_id % 50 = 0"), k=10, shard_rows=1000, query_rows=25, least=300).orderBy("query_id", "rank").collect():
+    for r in forest.search(df, df.where("vec_id % 50 = 0"), k=10, shard_rows=1000, query_rows=25).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     x = np.array([v for _, v in points])
     hits = 0
@@ -239,18 +239,62 @@ def test_forest(spark):
     assert forest.search(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_forest_query_recall(spark):
-    got = defaultdict(set)
-    for r in queries.op7_hash_prefix_forest(spark, "/root/testdata/sf0.1").collect():
-        got[r.query_id].add(r.vec_id)
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+def brute_nearest(rows, k=10):
+    """(query_id, rank, vec_id, score) over usable rows; of a repeated query id, the least vector asks."""
+    usable = [(i, v) for i, v in rows if i is not None and v is not None and len(v) == 4 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    out = []
+    for q in sorted({i for i, _ in usable if i % 100 == 0}):
+        own = np.array(min(v for i, v in usable if i == q))
+        near = sorted((float(np.sqrt(((np.array(v) - own) ** 2).sum())), i) for i, v in usable if i != q)[:k]
+        out += [(q, r + 1, i, s) for r, (s, i) in enumerate(near)]
+    return out
+
+
+def test_forest_repeats_and_ties(spark):
+    """Repeated queries are asked once; repeated candidates count one by one; ties go to the smaller id."""
+    rng = np.random.default_rng(4)
+    grid = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(1, 90)]
+    rows = grid + grid[:30] + [(100, [1.0, 0.0, 0.0, 1.0])] * 3 + [(200, [2.0, 1.0, 0.0, 0.0]), (200, [0.0, 1.0, 2.0, 0.0]), (300, None), (400, [0.0] * 4), (None, [1.0] * 4), (501, [1.0, float("inf"), 0.0, 0.0]), (502, [1.0, None, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<double>, score int")
+    got = forest.search(df, df.where("vec_id % 100 = 0"), k=10, breadth=100).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == brute_nearest(rows) and len(got) == 20
+    few = df.where("vec_id = 100")
+    assert forest.search(few, few).count() == 0
+
+
+def recall(spark, rows, got):
     x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
     hit = 0
     for q in got:
         d = ((x - x[ids == q][0]) ** 2).sum(1)
         d[ids == q] = np.inf
         hit += len(got[q] & set(ids[np.argsort(d)[:10]].tolist()))
-    assert len(got) == (ids % 100 == 0).sum() and hit >= 0.9 * 10 * len(got)
+    assert len(got) == (ids % 100 == 0).sum()
+    return hit / (10 * len(got))
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.1", "check_l"])
+def test_forest_query_recall(spark, table):
+    """Of 500, 2,000 and 51,282 vectors; the last are four shards."""
+    got = defaultdict(set)
+    for r in queries.op7_hash_prefix_forest(spark, f"/root/testdata/{table}").collect():
+        got[r.query_id].add(r.vec_id)
+    assert recall(spark, spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet").collect(), got) >= 0.9
+
+
+def test_forest_prunes():
+    """At 50,000 vectors: recall by candidates that are a small share of the rows, printed with -s."""
+    x = np.random.default_rng(2).standard_normal((50_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    trees = forest.PrefixForest(x)
+    hits, share = [], []
+    for q, cand in enumerate(trees.candidates(x[:60], int(10 * 50_000**0.5))):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits.append(len(set(cand.tolist()) & set(np.argsort(d)[:10].tolist())) / 10)
+        share.append(len(cand) / len(x))
+    print(f"recall {np.mean(hits):.3f} with {np.mean(share):.3f} of 50,000 rows as candidates")
+    assert np.mean(hits) >= 0.9 and np.mean(share) < 0.1
 
 
 # ---- packing
