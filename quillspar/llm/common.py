@@ -31,9 +31,11 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quillspar-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -48,7 +50,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what `stored` wrote for frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -132,18 +143,23 @@ def components(edges: DataFrame) -> DataFrame:
     """
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     links = stored(edges.where("a <> b").select(low, high).distinct(), "links")
-    labels = None
+    labels, steps = None, []
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "step")
         if labels is None:
             labels = step.select("node", F.col("to").alias("component"))
         else:
-            on = step.select(F.col("node").alias("component"), "to")
+            on, old = step.select(F.col("node").alias("component"), "to"), labels
             labels = stored(labels.join(on, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+            if len(steps) > 1:
+                release(old)
         a, b = step.select(F.col("node").alias("a"), F.col("to").alias("x")), step.select(F.col("node").alias("b"), F.col("to").alias("y"))
         moved = links.join(a, "a").join(b, "b").where("x <> y")
-        links = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        old, links = links, stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        release(old)
+        steps.append(step)
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    release(links, *steps[1:])  # the first step holds the labels of a single round
     return labels

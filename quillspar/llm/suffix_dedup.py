@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BLOCK_BYTES, SPACE, RollingHash, in_blocks, mix, need, partitions, small_batches, stored, texts_of
+from .common import BLOCK_BYTES, SPACE, RollingHash, in_blocks, mix, partitions, release, small_batches, stored, texts_of
 
 
 # ---- suffix arrays
@@ -372,6 +372,7 @@ def repeated_spans(docs: DataFrame, span: int = 400, split_contexts: int = 4000,
     # written first, so that the join has two plain exchanges and adaptive execution can split a hot key
     keys = stored(all_runs.groupBy("key").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alone")).where("n > 1").select("key", "alone"), "keys")
     runs = stored(all_runs.join(keys, "key"), "runs")
+    release(all_runs, keys)
 
     place = F.struct("node", "tag", "first", "last", "anchor")
     contexts = runs.groupBy("key", "context", "alone").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b"))
