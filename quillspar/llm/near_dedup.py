@@ -137,13 +137,14 @@ def linked(sets: list[np.ndarray], num: int, den: int, sides: np.ndarray | None
     return comp
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, tables: int = 8, rows: int = 3, task_shingles: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, tables: int = 14, rows: int = 5, task_shingles: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
     Documents are linked when den * |A & B| >= num * |A | B| on full shingle sets.
 
     1. Sketch every whole text; documents of identical sets become one representative, before anything else.
-    2. Pair half-sketches to table keys; each representative is joined with the least one of each of its
+    2. Pair half-sketches to table keys, but only those halves that another representative has too, as no
+       other can make a shared key; each representative is joined with the least one of each of its
        buckets. Components of these candidate links are clusters: two documents that share a bucket are in
        the same cluster. Only ids travel; no pairs within a bucket are made.
     3. Bring the texts of clustered representatives together by cluster and find every link there
@@ -151,9 +152,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
        so no group needs to fit a task; copies of a text or set never count, as one stands for them.
     4. Components of confirmed links, then back from representatives to documents.
 
-    With `tables`=8 and `rows`=3, a pair of similarity 0.85 shares a bucket with probability 0.999, and one
-    of 0.8 with 0.9936 (0.9993 with 11 tables); more similar pairs are surer still. A pair that shares none is
-    found only through others of its cluster.
+    With `tables`=14 and `rows`=5, a pair of similarity 0.85 shares a bucket with probability 0.9995 and one of
+    0.3 with 0.001; with 15 and 4, one of 0.8 with 0.9993. More similar pairs are surer still. A pair that shares
+    none is found only through others of its cluster.
 
     Null and empty texts, and those of white space, have no shingles, are linked with nothing, and stay. Rows
     that repeat a doc_id are one node. Rows without an id are left out. Other columns are not read.
@@ -187,9 +188,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     sketched = stored(source.mapInArrow(run, kind), "sketches")
     reps = stored(sketched.where("n_shingles > 0").groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half")), "reps")
 
-    a, b = F.slice("half", 1, tables), F.slice("half", tables + 1, tables)
-    keys = F.flatten(F.transform(a, lambda x, i: F.transform(b, lambda y, j: F.xxhash64(i, j, x, y))))
-    keyed = reps.select("rep", F.explode(keys).alias("key"))
+    halves = reps.select("rep", F.posexplode("half").alias("place", "h"))
+    shared = halves.groupBy("place", "h").agg(F.count("*").alias("n")).where("n > 1").select("place", "h")
+    common = halves.join(shared, ["place", "h"]).groupBy("rep").agg(F.collect_list(F.struct("place", "h")).alias("own"))
+    one, two = F.filter("own", lambda x: x["place"] < tables), F.filter("own", lambda x: x["place"] >= tables)
+    keys = F.flatten(F.transform(one, lambda x: F.transform(two, lambda y: F.xxhash64(x["place"], y["place"], x["h"], y["h"]))))
+    keyed = common.select("rep", F.explode(keys).alias("key"))
     least = keyed.groupBy("key").agg(F.min("rep").alias("to"), F.count("*").alias("n")).where("n > 1").select("key", "to")
     candidates = keyed.join(least, "key").where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b"))
     clusters = components(candidates).toDF("rep", "cluster")
