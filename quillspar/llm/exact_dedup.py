@@ -35,20 +35,24 @@ class OpenTable:
         self.rows: list[list] = []  # hash, content, smallest id, count
         self.bytes = 0
 
-    def add(self, code: int, content: bytes, least: int, count: int) -> None:
+    def add(self, code: int, content: bytes, least: int, count: int, new: bool = True) -> bool:
+        """Fold the record into an equal one, or put it in if it may be `new`; whether the table has it now."""
         mask = len(self.slots) - 1
         at = code & mask
         while (k := self.slots[at]) >= 0:
             row = self.rows[k]
             if row[0] == code and row[1] == content:
                 row[2], row[3] = min(row[2], least), row[3] + count
-                return
+                return True
             at = (at + 1) & mask
+        if not new:
+            return False
         self.slots[at] = len(self.rows)
         self.rows.append([code, content, least, count])
         self.bytes += len(content) + 160
         if 3 * len(self.rows) > 2 * len(self.slots):
             self._grow()
+        return True
 
     def _grow(self) -> None:
         mask = 2 * len(self.slots) - 1
@@ -74,15 +78,11 @@ def grace(records: Iterator[tuple[int, bytes, int, int]], budget: int, fan_out:
     shift = 60 - 4 * depth
     try:
         for code, content, least, count in records:
-            if files is None and (table.bytes < budget or shift < 0):
-                table.add(code, content, least, count)
+            if table.add(code, content, least, count, files is None and (table.bytes < budget or shift < 0)):
                 continue
             if files is None:
                 folder = tempfile.mkdtemp(prefix="grace-")
                 files = [open(os.path.join(folder, str(i)), "wb") for i in range(fan_out)]
-                for row in table.rows:
-                    _put(files, row, shift)
-                table = OpenTable()
             _put(files, (code, content, least, count), shift)
         yield from table.rows
         table = OpenTable()
