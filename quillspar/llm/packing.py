@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, partitions, small_batches
+from .common import need, partitions, small_batches, stored
 
 
 class Bins:
@@ -68,7 +68,7 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_items: int = 4000, id_col:
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     items = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words.alias("w"))
     items = items.select("doc_id", "source", F.size("w").cast("long").alias("n"), F.xxhash64("w").alias("cluster"))
-    return pack_items(items, capacity, shard_items)
+    return pack_items(stored(items, "items"), capacity, shard_items)  # texts are split once
 
 
 def pack_items(items: DataFrame, capacity: int, shard_items: int) -> DataFrame:
