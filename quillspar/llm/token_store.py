@@ -118,6 +118,11 @@ def pieces(ids: bytes) -> list[bytes]:
     return [ids[a : a + PIECE_BYTES] for a in (last * k // (n - 1) // 4 * 4 + last % 4 * (k == n - 1) for k in range(n))]
 
 
+def plain_dictionary(blobs: list[bytes], dict_bytes: int, end: bytes) -> bytes:
+    """The dictionary of tables too small to train one: the sampled ids themselves, in order of size, and some end ids."""
+    return (b"".join(sorted(blobs, key=lambda b: (len(b), b))) + end)[-max(dict_bytes, len(end)) :]
+
+
 def train_dictionary(docs: DataFrame, path: str, sample_docs: int, dict_bytes: int, end_id: int) -> bytes:
     """A zstandard dictionary trained on the serialized ids of a bounded sample: the rows least by a hash of the id."""
     import zstandard
@@ -133,8 +138,8 @@ def train_dictionary(docs: DataFrame, path: str, sample_docs: int, dict_bytes: i
     blobs = [bytes(r.ids) for r in sample.mapInArrow(ids, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(dict_bytes, blobs).as_bytes()
-    except zstandard.ZstdError:  # too few or too short samples; frames then go without
-        return b""
+    except zstandard.ZstdError:  # too few or too short samples for the trainer
+        return plain_dictionary(blobs, dict_bytes, array(encoder(path, 700_000).kind, [end_id] * 8).tobytes())
 
 
 def write_shard(folder: str, part: int, dictionary: bytes, rows: Iterator[tuple[int, bytes, int]], level: int = 3) -> tuple[str, int, int]:
@@ -143,7 +148,7 @@ def write_shard(folder: str, part: int, dictionary: bytes, rows: Iterator[tuple[
 
     fs, base = filesystem(folder)
     name = f"shard-{part:06d}-{uuid.uuid4().hex}.qstok"
-    pressed = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True, write_dict_id=False)
+    pressed = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True, write_dict_id=False)
     index, at, total = [], len(MAGIC) + 32, 0
     with fs.open_output_stream(f"{base}/{name}", buffer_size=1 << 20) as out:
         out.write(MAGIC + sha256(dictionary).digest())
@@ -176,7 +181,7 @@ class Shard:
             raise ValueError(f"{name} was written with another dictionary")
         self.file.seek(self.end)
         self.index = np.frombuffer(self.file.read(n * _ENTRY.itemsize), _ENTRY)
-        self.dctx = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        self.dctx = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
 
     def frames(self, first: int, last: int) -> list[bytes]:
         """The packed ids of documents [first, last) in the shard, read in one piece."""
@@ -193,13 +198,15 @@ class Shard:
         return np.frombuffer(self.frames(k, k + 1)[0], kind)
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None, shards: int | None = None, dict_docs: int = 500, dict_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None, shards: int | None = None, shard_bytes: int = 16 << 20, dict_docs: int = 500, dict_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Write the ids of all documents in ascending doc_id order; what `read_tokens` needs: folder, dictionary, shards.
 
-    Documents are dealt to shards by ranges of doc_id and sorted within; each task encodes its shard, appends
+    Documents are dealt to shards by ranges of doc_id (and of a hash of the text, so that rows of one id or of none
+    don't need to fit a shard), one for about `shard_bytes` of text unless `shards` says how many, and sorted within; each task encodes its shard, appends
     `end_id`, and streams frames into a file of its own, so memory holds one batch and the index. The
     dictionary is trained on at most `dict_docs` documents, encoded whole, of which each gives at most 16 pieces
-    of 8 KB of ids from all over it, and is at most `dict_bytes` large. The driver gets a row per shard. Null texts count as empty and give the end id alone;
+    of 8 KB of ids from all over it, and is at most `dict_bytes` large; where they are too few or short to train one,
+    the ids sampled are the dictionary. The driver gets a row per shard. Null texts count as empty and give the end id alone;
     null ids come first; rows of equal ids keep together in no set order among equal texts. Ids are 16 bits
     wide if the vocabulary allows it, else 32. Other columns are not read.
     """
@@ -235,7 +242,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
             name, n, total = write_shard(folder, part, dictionary, itertools.chain([first], it))
             yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "docs": n, "tokens": total}], schema=_MADE)
 
-    ranged = (rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")).sortWithinPartitions("doc_id", "text")
+    shards = shards or max(1, -(-(rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) // shard_bytes))
+    ranged = rows.withColumn("code", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "code").sortWithinPartitions("doc_id", "code", "text").select("doc_id", "text")
     made = ranged.mapInArrow(run, "part int, name string, docs long, tokens long").collect()
     made = sorted(made, key=lambda r: r.part)
     starts = [0, *itertools.accumulate(r.tokens for r in made)]
