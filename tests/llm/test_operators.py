@@ -61,6 +61,19 @@ def test_grace_recursion_folds_everything():
     assert got == {c: tuple(v) for c, v in want.items()}
 
 
+def test_grace_folds_copies_of_what_the_table_holds(monkeypatch):
+    """5,000 copies of 50 texts, of which the table holds some: only copies of the others are spilled, and no table row is."""
+    spilled = Counter()
+    put = exact_dedup._put
+    monkeypatch.setattr(exact_dedup, "_put", lambda files, row, shift: (spilled.update([row[1]]), put(files, row, shift)))
+    texts = [b"%03d" % k + b"x" * 997 for k in range(50)]
+    records = [(hash(texts[i % 50]) & (1 << 64) - 1, texts[i % 50], i, 1) for i in range(5000)]
+    got = {r[1]: (r[2], r[3]) for r in exact_dedup.grace(iter(records), 46_000)}
+    assert got == {t: (i, 100) for i, t in enumerate(texts)}
+    held = set(texts) - set(spilled)
+    assert 38 <= len(held) <= 42 and sum(spilled.values()) == 100 * (50 - len(held))
+
+
 def test_grace_compares_contents():
     same = [(5, b"a", 1, 1), (5, b"b", 2, 1), (5, b"a", 3, 1)]
     assert sorted(map(tuple, exact_dedup.grace(iter(same), 1))) == [(5, b"a", 1, 2), (5, b"b", 2, 1)]
@@ -372,6 +385,28 @@ def test_token_store(spark, small):
     assert token_store.read_tokens(spark, empty).count() == 0
 
 
+def test_token_store_of_tiny_tables_and_repeats(spark):
+    """Too few texts to train a dictionary: it holds the sampled ids. Null and repeated ids are rows of their own, in order."""
+    path = queries.vocabulary("word_bpe_49k.json")
+    rows = [(3, "three three"), (None, "none"), (1, "a short text"), (1, "a short text"), (1, "another text of that id"), (None, None), (2, "")]
+    store = token_store.write_tokens(documents(spark, rows), path, shards=3)
+    got = token_store.digests(token_store.read_tokens(spark, store)).orderBy("start").collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, *token_store.reference_crc(path, t)) for i, t in rows)
+    assert [r.doc_id for r in got] == [None, None, 1, 1, 1, 2, 3] and [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(7)]
+    one = token_store.write_tokens(documents(spark, rows[:1]), path)
+    fs, base = token_store.filesystem(one["folder"])
+    dictionary = fs.open_input_stream(f"{base}/dictionary").read()
+    three = np.array(token_store.tokenizer(path).encode("three three", add_special_tokens=False).ids, "<u2").tobytes()
+    assert three in dictionary and [r.n_tokens for r in token_store.read_tokens(spark, one).collect()] == [3]
+
+
+def test_token_shards_follow_the_bytes(spark, small):
+    path = queries.vocabulary("word_bpe_49k.json")
+    total = sum(len((t or "").encode()) for _, t in small)
+    store = token_store.write_tokens(documents(spark, small), path, shard_bytes=total // 6)
+    assert 5 <= len(store["shards"]) <= 7
+
+
 def test_plain_characters_in_words():
     """Every character that the local split takes as plain, and every other of that range, gives the library's ids in a word."""
     path = queries.vocabulary("word_bpe_49k.json")

@@ -145,7 +145,7 @@ def test_near_tables_find_pairs_at_the_threshold():
     rng = np.random.default_rng(21)
     tables, n = pipeline.NEAR_TABLES, 8000
     sets = rng.integers(0, 1 << 63, (n, 10), dtype=np.uint64)  # eight shared shingles and one of each side's own
-    a, b = (TensorSketch(tables, 3).halves([np.sort(np.append(s[:8], s[k])) for s in sets]) for k in (8, 9))
+    a, b = (TensorSketch(tables, pipeline.NEAR_ROWS).halves([np.sort(np.append(s[:8], s[k])) for s in sets]) for k in (8, 9))
     same = a == b
     found = same[:, :tables].any(axis=1) & same[:, tables:].any(axis=1)
     assert (~found).sum() <= n / 500
