@@ -17,8 +17,8 @@ from quillspar.llm.toxicity import score_toxicity, train_chain
 
 #: Passages of so many words that occur elsewhere too are cut, however short in bytes: all that have over fifty.
 PASSAGE_WORDS = 51
-#: Tables of the near-duplicate sketch: a lone pair at 0.8 is found with probability 0.9993.
-NEAR_TABLES = 11
+#: Tables of the near-duplicate sketch and minhashes in a half key: a lone pair at 0.8 is found with probability 0.9993.
+NEAR_TABLES, NEAR_ROWS = 15, 4
 #: Words in a bin.
 BIN_WORDS = 2048
 
@@ -70,7 +70,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words are linked with nothing. Rows that share an id stay together; rows of a null id stay.
     """
-    return _staying(docs, near_duplicates(docs, words=5, num=80, den=100, tables=NEAR_TABLES))
+    return _staying(docs, near_duplicates(docs, words=5, num=80, den=100, tables=NEAR_TABLES, rows=NEAR_ROWS))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
