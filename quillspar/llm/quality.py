@@ -97,7 +97,11 @@ class Neighbours:
         return out / np.where(norm > 0, norm, 1)
 
     def score(self, counts: list[Counter], block: int = 256) -> np.ndarray:
-        """Share of the neighbours' similarity that votes for label 1; exact cosine products, block by block."""
+        """Share of the neighbours' similarity that votes for label 1; exact cosine products, block by block.
+
+        The `k` nearest vote, and all that are as near as the last of them (to 1e-9). A vote weighs the fourth power
+        of its cosine; negative ones weigh nothing, and a text whose neighbours all weigh nothing gets the prior.
+        """
         out = np.full(len(counts), self.prior)
         if not len(self.labels):
             return out
@@ -105,10 +109,10 @@ class Neighbours:
         points = self.project(counts)
         for at in range(0, len(counts), block):
             sims = points[at : at + block] @ self.vectors.T
-            near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.tile(np.arange(k), (len(sims), 1))
-            s = np.clip(np.take_along_axis(sims, near, 1), 0, None) ** 4
+            last = np.partition(sims, -k, axis=1)[:, [-k]]
+            s = np.where(sims >= last - 1e-9, np.clip(sims, 0, None) ** 2, 0) ** 2
             total = s.sum(axis=1)
-            out[at : at + block] = np.where(total > 0, (s * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
+            out[at : at + block] = np.where(total > 0, s @ self.labels / np.where(total > 0, total, 1), self.prior)
         return np.clip(out, 0, 1)
 
 
@@ -126,26 +130,30 @@ def fit_neighbours(counts: list[Counter], labels: np.ndarray, rank: int = 48, k:
     return out
 
 
-_COUNTS = "label int, slots array<int>, counts array<int>"
+_COUNTS = "label int, slots array<int>, counts array<int>, doc_id long"
 
 
 def train_neighbours(docs: DataFrame, labelled: DataFrame, sample_rows: int = 3000, rank: int = 48, k: int = 15) -> Neighbours:
     """Fit on a bounded sample of labelled rows (doc_id, label): at most `sample_rows`, least by a hash of doc_id.
 
-    Executors turn the sample's texts into term counts; only those reach the driver.
+    Executors turn the sample's texts into term counts; only those reach the driver. Null labels, ids and texts are
+    left out; rows that repeat an id count one by one, up to the bound. Without labelled rows the model has no
+    neighbours, and all texts get the score 0.5. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = labelled.where("label is not null and doc_id is not null").orderBy(*order).limit(sample_rows)
-    rows = need(docs, "doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
+    rows = need(docs, "doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int").alias("label"), "text", F.col("doc_id").cast("long").alias("doc_id"))
 
     def run(batches):
         terms = _terms()
         for b in batches:
             found = [terms.count(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["label", "slots", "counts"])
+            found = [dict(sorted(c.items())) for c in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), b.column(2)], names=["label", "slots", "counts", "doc_id"])
 
-    sample = sorted((r.label, r.slots, r.counts) for r in rows.mapInArrow(run, _COUNTS).limit(sample_rows).collect())
+    counted = rows.mapInArrow(run, _COUNTS).orderBy(*order, "label", "slots", "counts").limit(sample_rows)
+    sample = sorted((r.label, r.slots, r.counts) for r in counted.collect())
     return fit_neighbours([Counter(dict(zip(s, c, strict=True))) for _, s, c in sample], np.array([x[0] for x in sample], int), rank, k)
 
 
@@ -153,7 +161,9 @@ def score_quality(docs: DataFrame, model: Neighbours) -> DataFrame:
     """(doc_id, score) of every whole text, in one pass without a shuffle.
 
     The broadcast holds the latent basis and the labelled vectors, both of a size that the sample's bound
-    fixes. A text without terms (null, empty, white space only) has no neighbours and gets the label mean.
+    fixes. A text without terms (null, empty, white space only) has no neighbours and gets the label mean. Equal
+    texts get equal scores. Repeated rows and rows of a null id are scored one by one; an empty table gives an
+    empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
