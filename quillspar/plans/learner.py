@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
+from ..sources.scratch import Scratch
 
 
 def pair_features(pairs: SparseMatrix, xx: SparseMatrix, yy: SparseMatrix, pattern: DataFrame) -> DataFrame:
@@ -45,98 +44,152 @@ def loss(kind: int, label, margin):
     return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))), -label / (1 + F.exp(label * margin))
 
 
-def minimise(value_and_slope: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, rounds: int, tolerance: float, memory: int = 10) -> np.ndarray:
-    """Limited-memory quasi-Newton descent with a backtracking line search."""
-    f, g = value_and_slope(w)
-    first, steps, turns = np.linalg.norm(g), [], []
+def classifier_cost(kind: int, cost: Column | float, node_n: Column, all_n: Column | float) -> Column:
+    """The weight of a node's losses: the cost itself, or for the logistic loss its share for the node's instances."""
+    return F.lit(cost) if kind == 0 else F.lit(cost) * node_n / F.lit(all_n)
+
+
+def _direction(gram: np.ndarray, memory: int) -> np.ndarray:
+    """Coefficients of the quasi-Newton direction over steps, turns and gradient, from their scalar products alone."""
+    d = np.zeros(2 * memory + 1)
+    d[-1] = 1.0
+    alphas = {}
+    for k in reversed(range(memory)):
+        alphas[k] = d @ gram[:, k] / gram[k, memory + k]
+        d[memory + k] -= alphas[k]
+    if memory:
+        d *= gram[memory - 1, 2 * memory - 1] / gram[2 * memory - 1, 2 * memory - 1]
+    for k in range(memory):
+        d[k] += alphas[k] - d @ gram[:, memory + k] / gram[k, memory + k]
+    return d
+
+
+def _pseudo(w, g, l1: bool):
+    """The slope of the whole objective: the regulariser's is added, or for absolute values the nearest of its slopes."""
+    if not l1:
+        return g + w
+    return F.when(w > 0, g + 1).when(w < 0, g - 1).when(g > 1, g - 1).when(g < -1, g + 1).otherwise(F.lit(0.0))
+
+
+def fit(features: DataFrame, rows: DataFrame, kind: int = 0, rounds: int = 20, normalise: bool = True, tolerance: float = 1e-3, penalty: str = "l2", memory: int = 5) -> DataFrame:
+    """(xf, yf, w) minimising penalty + sum of c * loss, with a regularised bias, whose row has null keys.
+
+    The penalty is 0.5 w.w ("l2") or the sum of absolute weights ("l1"), whose minimum has weights that are exactly 0.
+    Limited-memory quasi-Newton descent with a backtracking line search; for "l1" by orthants.
+
+    All that grows with the parameters stays in tables: one row for each parameter holds its weight, slope and last
+    `memory` steps and turns. A trial joins weights to features and sums margins by instance, an accepted one
+    sums slopes by parameter, and the direction comes from the scalar products of the columns, which with the bias's
+    own numbers are all that reaches the driver. Each state is written to the shared folder, and its predecessor deleted.
+    """
+    if kind not in (0, 1) or penalty not in ("l1", "l2"):
+        raise ValueError("kind must be 0 (squared hinge) or 1 (logistic), penalty l1 or l2")
+    spark, l1 = features.sparkSession, penalty == "l1"
+    keep, scratch = Scratch(spark), Scratch(spark)
+    norms = features.groupBy("x", "y").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_n"))
+    scaled = features.join(norms, ["x", "y"]).withColumn("v", F.col("v") / F.when(F.col("_n") == 0, 1.0).otherwise(F.col("_n"))) if normalise else features
+    entries = scratch.stored(scaled.select("x", "y", "xf", "yf", "v").join(rows.select("x", "y"), ["x", "y"], "left_semi"), "features")
+    table = scratch.stored(rows.select("x", "y", "label", "c"), "instances")
+    keys = ["xf", "yf"]
+    lag = [f"{n}{k}" for n in "sy" for k in range(memory)]
+    own = {n: 0.0 for n in ["w", "g", *lag]}  # the bias's numbers, as the table has them for each parameter
+
+    def losses(weights: DataFrame, bias: float) -> tuple[DataFrame, float, float]:
+        sums = entries.join(weights, keys).groupBy("x", "y").agg(F.sum(F.col("v") * F.col("w")).alias("m"))
+        margin = F.coalesce("m", F.lit(0.0)) + bias
+        value, slope = loss(kind, F.col("label"), margin)
+        out = scratch.stored(table.join(sums, ["x", "y"], "left").select("x", "y", (F.col("c") * slope).alias("slope"), (F.col("c") * value).alias("value")), "slopes")
+        total = out.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("f"), F.coalesce(F.sum("slope"), F.lit(0.0)).alias("g")).first()
+        return out, total.f, total.g
+
+    def slopes_of(out: DataFrame) -> DataFrame:
+        return entries.join(out.select("x", "y", "slope"), ["x", "y"]).groupBy(*keys).agg(F.sum(F.col("slope") * F.col("v")).alias("new_g"))
+
+    def cost(w):
+        return F.abs(w) if l1 else w * w / 2
+
+    start = entries.select(*keys).distinct().select(*keys, F.lit(0.0).alias("w"))
+    slopes, f, own["g"] = losses(start, 0.0)
+    state = scratch.stored(start.join(slopes_of(slopes), keys).withColumnRenamed("new_g", "g").select(*keys, "w", "g", *[F.lit(0.0).alias(n) for n in lag]), "state")
+    scratch.release(slopes)
+    first, known = None, 0
     for _ in range(rounds):
-        if np.linalg.norm(g) <= tolerance * max(first, 1e-12):
+        names = [*lag[memory - known : memory], *lag[2 * memory - known :]]
+        basis = [*[F.col(n) for n in names], _pseudo(F.col("w"), F.col("g"), l1)]
+        pairs = [(a, b) for a in range(len(basis)) for b in range(a, len(basis))]
+        dots = [F.coalesce(F.sum(basis[a] * basis[b]), F.lit(0.0)).alias(f"d{k}") for k, (a, b) in enumerate(pairs)]
+        gram = np.zeros((len(basis), len(basis)))
+        for (a, b), x in zip(pairs, state.agg(*dots).first(), strict=True):
+            gram[a, b] = gram[b, a] = x
+        bias, slope = own["w"], own["g"]  # the bias is one more parameter, whose numbers are here
+        bias_q = slope + bias if not l1 else slope + np.sign(bias) if bias else np.sign(slope) * max(0.0, abs(slope) - 1)
+        bias_basis = np.array([*(own[n] for n in names), bias_q])
+        gram += np.outer(bias_basis, bias_basis)
+        size = float(np.sqrt(gram[-1, -1]))
+        first = size if first is None else first
+        if size <= tolerance * max(first, 1e-12):
             break
-        d, alphas = g.copy(), []
-        for s, y in zip(reversed(steps), reversed(turns)):
-            a = s @ d / (s @ y)
-            alphas.append(a)
-            d -= a * y
-        if steps:
-            d *= steps[-1] @ turns[-1] / (turns[-1] @ turns[-1])
-        for (s, y), a in zip(zip(steps, turns), reversed(alphas)):
-            d += (a - y @ d / (s @ y)) * s
-        rate = 1.0 if steps else 1 / max(1.0, np.linalg.norm(g))
+        weights = _direction(gram, known)
+        q = basis[-1]
+        step = -sum((float(c) * x for c, x in zip(weights, basis, strict=True)), F.lit(0.0))
+        bias_step = -float(weights @ bias_basis)
+        if l1:
+            step = F.when(step * q < 0, step).otherwise(F.lit(0.0))
+            bias_step = bias_step if bias_step * bias_q < 0 else 0.0
+        rate = 1.0 if known else 1 / max(1.0, size)
+        side = F.when(F.col("w") != 0, F.signum("w")).otherwise(F.signum(-q))
         while True:
-            new = w - rate * d
-            nf, ng = value_and_slope(new)
-            if nf <= f - 1e-4 * rate * (g @ d) or rate < 1e-10:
+            moved = F.col("w") + rate * step
+            if l1:
+                moved = F.when(moved * side > 0, moved).otherwise(F.lit(0.0))
+            trial = state.select("*", moved.alias("new_w"), q.alias("q"))
+            new_bias = bias + rate * bias_step
+            if l1 and new_bias * (np.sign(bias) or -np.sign(bias_q)) <= 0:
+                new_bias = 0.0
+            slopes, value, bias_slope = losses(trial.select(*keys, F.col("new_w").alias("w")), new_bias)
+            change = trial.agg(F.sum(cost(F.col("new_w")) - cost(F.col("w"))).alias("p"), F.sum(F.col("q") * (F.col("new_w") - F.col("w"))).alias("d")).first()
+            p = (change.p or 0.0) + (abs(new_bias) - abs(bias) if l1 else (new_bias**2 - bias**2) / 2)
+            d = (change.d or 0.0) + bias_q * (new_bias - bias)
+            if value - f + p <= 1e-4 * d or rate < 1e-8:
                 break
+            scratch.release(slopes)
             rate /= 2
-        s, y = new - w, ng - g
-        if s @ y > 1e-12:
-            steps, turns = [*steps, s][-memory:], [*turns, y][-memory:]
-        w, f, g = new, nf, ng
-    return w
-
-
-def fit(features: DataFrame, rows: DataFrame, kind: int = 0, rounds: int = 20, normalise: bool = True, tolerance: float = 1e-3) -> DataFrame:
-    """(xf, yf, w) minimising 0.5 w.w + sum of c * loss, with a regularised bias, whose row has null keys.
-
-    Weights live in a table the driver holds as an array of one number per parameter (the pattern bounds
-    their number); each evaluation is one pass of executors over the persisted instances: their margins
-    from broadcast weights, and partial gradients summed by parameter.
-    """
-    if kind not in (0, 1):
-        raise ValueError("kind must be 0 (squared hinge) or 1 (logistic)")
-    spark = features.sparkSession
-    keys = features.select("xf", "yf").distinct().orderBy("xf", "yf").collect()
-    n = len(keys)
-    ids = spark.createDataFrame([(k.xf, k.yf, i) for i, k in enumerate(keys)], "xf long, yf long, p int")
-    entries = features.join(F.broadcast(ids) if n <= 200_000 else ids, ["xf", "yf"])
-    lists = entries.groupBy("x", "y").agg(F.collect_list("p").alias("ps"), F.collect_list("v").alias("vs"))
-    if normalise:
-        norm = F.sqrt(F.aggregate("vs", F.lit(0.0), lambda a, v: a + v * v))
-        lists = lists.withColumn("vs", F.transform("vs", lambda v: v / F.when(norm == 0, 1.0).otherwise(norm)))
-    table = rows.join(lists, ["x", "y"], "left").select("label", "c", "ps", "vs").persist()
-
-    def value_and_slope(w: np.ndarray):
-        shared = spark.sparkContext.broadcast(w)
-
-        def part(batches):
-            import pyarrow as pa
-
-            f, g = 0.0, np.zeros(n + 1)
-            for b in batches:
-                y, c = np.asarray(b.column(0), float), np.asarray(b.column(1), float)
-                size = np.array([len(x) if x is not None else 0 for x in b.column(2).to_pylist()])
-                of = np.repeat(np.arange(len(y)), size)
-                ps, vs = np.asarray(b.column(2).flatten()), np.asarray(b.column(3).flatten())
-                margin = np.bincount(of, shared.value[ps] * vs, len(y)) + shared.value[n] if len(ps) else np.full(len(y), shared.value[n])
-                if kind == 0:
-                    gap = np.maximum(0, 1 - y * margin)
-                    f += float((c * gap * gap).sum())
-                    slope = -2 * c * y * gap
-                else:
-                    z = -y * margin
-                    f += float((c * np.logaddexp(0, z)).sum())
-                    slope = -c * y / (1 + np.exp(np.clip(-z, -500, 500)))
-                if len(ps):
-                    g[:n] += np.bincount(ps, slope[of] * vs, n)
-                g[n] += slope.sum()
-            at = np.flatnonzero(g)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(g[at], f))], names=["p", "g"])
-
-        sums = table.mapInArrow(part, "p int, g double").groupBy("p").agg(F.sum("g").alias("g")).collect()
-        shared.unpersist()
-        g = w.copy()
-        f = 0.5 * float(w @ w)
-        for r in sums:
-            if r.p < 0:
-                f += r.g
-            else:
-                g[r.p] += r.g
-        return f, g
-
-    w = minimise(value_and_slope, np.zeros(n + 1), rounds, tolerance)
-    table.unpersist()
-    out = [(k.xf, k.yf, float(v)) for k, v in zip(keys, w[:n], strict=True)] + [(None, None, float(w[n]))]
-    return spark.createDataFrame(out, "xf long, yf long, w double")
+        # the smooth part's turns; an l2 penalty is smooth, so its own turn counts
+        turn = F.col("new_g") - F.col("g") + (F.lit(0.0) if l1 else F.col("new_w") - F.col("w"))
+        grown = trial.join(slopes_of(slopes), keys)
+        shifted = {**{f"s{k}": F.col(f"s{k + 1}") for k in range(memory - 1)}, f"s{memory - 1}": F.col("new_w") - F.col("w"), **{f"y{k}": F.col(f"y{k + 1}") for k in range(memory - 1)}, f"y{memory - 1}": turn}
+        bias_s, bias_y = new_bias - bias, bias_slope - slope + (0.0 if l1 else new_bias - bias)
+        new = scratch.stored(grown.select(*keys, F.col("new_w").alias("w"), F.col("new_g").alias("g"), *[c.alias(n) for n, c in shifted.items()]), "state")
+        last = F.col(f"s{memory - 1}") * F.col(f"y{memory - 1}")
+        if (new.agg(F.sum(last).alias("p")).first().p or 0.0) + bias_s * bias_y > 1e-12:
+            for n, x in (("s", bias_s), ("y", bias_y)):
+                for k in range(memory - 1):
+                    own[f"{n}{k}"] = own[f"{n}{k + 1}"]
+                own[f"{n}{memory - 1}"] = x
+            known = min(memory, known + 1)
+        else:  # a step without a turn tells nothing: the columns stay as they were
+            scratch.release(new)
+            new = scratch.stored(grown.select(*keys, F.col("new_w").alias("w"), F.col("new_g").alias("g"), *lag), "state")
+        own["w"], own["g"], f = new_bias, bias_slope, value
+        scratch.release(state, slopes)
+        state = new
+    bias = spark.createDataFrame([(None, None, own["w"])], "xf long, yf long, w double")
+    out = keep.stored(state.select(F.col("xf").cast("long"), F.col("yf").cast("long"), "w").unionByName(bias), "model")
+    scratch.release(*[df for df, _ in scratch.paths.values()])
+    return out
+
+
+def residuals(features: DataFrame, rows: DataFrame, model: DataFrame, kind: int = 0, normalise: bool = True, penalty: str = "l2") -> DataFrame:
+    """(xf, yf, residual): how far each parameter's slope is from what holds at the minimum; null keys for the bias."""
+    pairs = SparseMatrix(rows.select(F.col("x").alias("i"), F.col("y").alias("j"), F.lit(1.0).alias("v")), 0, 0)
+    _, slope = loss(kind, F.col("label"), F.col("t"))
+    slopes = rows.join(margins(features, pairs, model, normalise), ["x", "y"]).select("x", "y", (F.col("c") * slope).alias("slope"))
+    norms = features.groupBy("x", "y").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_n"))
+    unit = F.col("v") / F.when(F.col("_n") == 0, 1.0).otherwise(F.col("_n")) if normalise else F.col("v")
+    sums = features.join(norms, ["x", "y"]).join(slopes, ["x", "y"]).groupBy("xf", "yf").agg(F.sum(unit * F.col("slope")).alias("g"))
+    bias = slopes.agg(F.sum("slope").alias("g")).select(F.lit(None).cast("long").alias("xf"), F.lit(None).cast("long").alias("yf"), "g")
+    both = sums.unionByName(bias).alias("a").join(model.alias("b"), F.col("a.xf").eqNullSafe(F.col("b.xf")) & F.col("a.yf").eqNullSafe(F.col("b.yf")))
+    return both.select("a.xf", "a.yf", F.abs(_pseudo(F.col("w"), F.col("g"), penalty == "l1")).alias("residual"))
 
 
 def margins(features: DataFrame, pairs: SparseMatrix, model: DataFrame, normalise: bool = False) -> DataFrame:

@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..matrix import SCHEMA, SparseMatrix
+from .scratch import Scratch
+
+
+def _numbered(spark: SparkSession, path: str, items=None) -> DataFrame:
+    """(n, value): lines, or with `items` what that makes of each, with their place over all files in order of name.
+
+    The rows of a split of a file stand in order in one task, so counts by split, which are few, give the place of
+    each split's first row; nothing goes through Python or one task but a row for each split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    if items is not None:
+        lines = lines.select("_f", "_b", F.explode(items(F.col("value"))).alias("value"))
+    lines = lines.withColumn("_r", F.monotonically_increasing_id())
+    splits = lines.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_r").alias("_least"))
+    before = F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("_f", "_b", (F.coalesce(before, F.lit(0)) - F.col("_least")).alias("_first"))
+    return lines.join(starts, ["_f", "_b"]).select((F.col("_first") + F.col("_r")).alias("n"), "value")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value): lines with their place in the file, counted in parallel."""
-    return spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[1], r[0].value)).toDF("n long, value string")
+    """(n, value): lines with their place in the file."""
+    return _numbered(spark, path)
+
+
+def _words(line):
+    return F.filter(F.split(line, r"\s+"), lambda t: t != "")
 
 
 def _entries(df: DataFrame, line: str) -> DataFrame:
@@ -27,11 +50,11 @@ def _entries(df: DataFrame, line: str) -> DataFrame:
 def read_text(spark: SparkSession, path: str) -> SparseMatrix:
     """A header `rows columns`, then a line of `index:value` for each row; short files and bad tokens are errors."""
     lines = numbered_lines(spark, path)
-    head = lines.where("n = 0").first()
-    if head is None:
+    found = lines.agg(F.max(F.when(F.col("n") == 0, F.col("value"))).alias("head"), F.count("*").alias("lines")).first()
+    if found.head is None:
         raise ValueError(f"{path} is empty")
-    n_rows, n_cols = map(int, head.value.split())
-    if lines.count() - 1 < n_rows:
+    n_rows, n_cols = map(int, found.head.split())
+    if found.lines - 1 < n_rows:
         raise ValueError(f"{path} has fewer than {n_rows} rows")
     body = lines.where((F.col("n") > 0) & (F.col("n") <= n_rows)).select((F.col("n") - 1).alias("i"), "value")
     return SparseMatrix.of(_entries(body, "value"), n_rows, n_cols)
@@ -52,48 +75,77 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 
 def read_values(spark: SparkSession, path: str) -> DataFrame:
     """(id, v): numbers between white space, in order."""
-    lines = numbered_lines(spark, path).select("n", F.posexplode(F.filter(F.split("value", r"\s+"), lambda t: t != "")).alias("k", "t"))
-    return lines.orderBy("n", "k").rdd.zipWithIndex().map(lambda r: (r[1], float(r[0].t))).toDF("id long, v double")
+    return _numbered(spark, path, _words).select(F.col("n").alias("id"), F.col("value").cast("double").alias("v"))
 
 
 def read_dense(spark: SparkSession, path: str) -> DataFrame:
     """(i, values): a header `rows columns`, then all numbers of a row on a line."""
-    return numbered_lines(spark, path).where("n > 0").select((F.col("n") - 1).alias("i"), F.transform(F.filter(F.split("value", r"\s+"), lambda t: t != ""), lambda t: t.cast("double")).alias("values"))
+    return numbered_lines(spark, path).where("n > 0").select((F.col("n") - 1).alias("i"), F.transform(_words("value"), lambda t: t.cast("double")).alias("values"))
 
 
 #: The binary layout. int32 rows, int32 columns, int64 number of sizes (absent in old files),
 #: int32 size of each row, then (int32, float32) pairs; or, planar, all indices and then all values.
-_PAIR = np.dtype([("j", "<i4"), ("v", "<f4")])
 
+#: Rows whose sizes are looked at together, and entries that a task reads at a time.
+_STEP = 1 << 20
 
-def _decode(raw: bytes, planar: bool, size_prefix: bool) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    n_rows, n_cols = np.frombuffer(raw, "<i4", 2)
-    at = 8 + 8 * size_prefix
-    sizes = np.frombuffer(raw, "<i4", n_rows, at)
-    at += 4 * len(sizes)
-    n = int(sizes.sum(dtype=np.int64))
-    if planar:
-        j, v = np.frombuffer(raw, "<i4", n, at), np.frombuffer(raw, "<f4", n, at + 4 * n)
-    else:
-        pairs = np.frombuffer(raw, _PAIR, n, at)
-        j, v = pairs["j"], pairs["v"]
-    return int(n_rows), int(n_cols), np.repeat(np.arange(n_rows), sizes), j, v
+
+def _input(path: str):
+    """A file that can be read from any place, on executors as on the driver."""
+    from pyarrow import fs
+
+    where, base = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    return where.open_input_file(base)
+
+
+def _output(path: str):
+    from pyarrow import fs
+
+    where, base = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    return where.open_output_stream(base, buffer_size=_STEP)
+
+
+def _layout(path: str, size_prefix: bool) -> tuple[int, int, list[tuple[int, int, int, int]]]:
+    """Rows, columns, and runs of rows (first row, rows, first entry, entries) of about `_STEP` entries each."""
+    with _input(path) as f:
+        n_rows, n_cols = (int(x) for x in np.frombuffer(f.read(8), "<i4"))
+        f.seek(8 + 8 * size_prefix)
+        runs, at = [], 0
+        for first in range(0, n_rows, _STEP):
+            ends = np.cumsum(np.frombuffer(f.read(4 * min(_STEP, n_rows - first)), "<i4"), dtype=np.int64)
+            a = 0
+            while a < len(ends):
+                before = int(ends[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, before + _STEP, "right")))
+                runs.append((first + a, b - a, at + before, int(ends[b - 1]) - before))
+                a = b
+            at += int(ends[-1])
+        if f.size() < 8 + 8 * size_prefix + 4 * n_rows + 8 * at:
+            raise ValueError(f"{path} is cut short")
+        return n_rows, n_cols, [(*r, at) for r in runs]
 
 
 def read_binary(spark: SparkSession, path: str, planar: bool = False, size_prefix: bool = True) -> SparseMatrix:
-    files = spark.read.format("binaryFile").load(path)
+    """One file of any size: the driver looks at the sizes of rows, block by block, and tasks read runs of rows."""
+    n_rows, n_cols, runs = _layout(path, size_prefix)
+    head = 8 + 8 * size_prefix
 
     def run(batches):
         for b in batches:
-            for raw in b.column(0):
-                _, _, i, j, v = _decode(raw.as_py(), planar, size_prefix)
-                for a in range(0, max(1, len(i)), 1 << 20):
-                    part = slice(a, a + (1 << 20))
-                    yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(t)) for x, t in ((i, np.int64), (j, np.int64), (v, np.float64))], names=["i", "j", "v"])
-
-    head = files.select(F.substring("content", 1, 8).alias("h")).first().h
-    n_rows, n_cols = (int(x) for x in np.frombuffer(head, "<i4"))
-    return SparseMatrix(files.select("content").mapInArrow(run, SCHEMA), n_rows, n_cols)
+            with _input(path) as f:
+                for row, rows, entry, n, total in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    sizes = np.frombuffer(f.read_at(4 * rows, head + 4 * row), "<i4")
+                    at = head + 4 * n_rows
+                    if planar:
+                        j, v = np.frombuffer(f.read_at(4 * n, at + 4 * entry), "<i4"), np.frombuffer(f.read_at(4 * n, at + 4 * (total + entry)), "<f4")
+                    else:
+                        pairs = np.frombuffer(f.read_at(8 * n, at + 8 * entry), [("j", "<i4"), ("v", "<f4")])
+                        j, v = pairs["j"], pairs["v"]
+                    i = np.repeat(np.arange(row, row + rows), sizes)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in ((i, np.int64), (j, np.int64), (v, np.float64))], names=["i", "j", "v"])
+
+    table = spark.createDataFrame(runs, "row long, rows long, entry long, n long, total long")
+    return SparseMatrix(table.repartition(max(1, len(runs))).mapInArrow(run, SCHEMA), n_rows, n_cols)
 
 
 def read_matrix(spark: SparkSession, path: str) -> SparseMatrix:
@@ -109,14 +161,18 @@ def read_matrix(spark: SparkSession, path: str) -> SparseMatrix:
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
-    """(id, v): an int64 count, then float32 values."""
+    """(id, v): an int64 count, then float32 values, read in runs by tasks."""
+    with _input(path) as f:
+        n = int(np.frombuffer(f.read(8), "<i8")[0])
+
     def run(batches):
         for b in batches:
-            for raw in b.column(0):
-                v = np.frombuffer(raw.as_py(), "<f4", offset=8)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v.astype(float))], names=["id", "v"])
+            with _input(path) as f:
+                for first in b.column(0).to_pylist():
+                    v = np.frombuffer(f.read_at(4 * min(_STEP, n - first), 8 + 4 * first), "<f4")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(v))), pa.array(v.astype(float))], names=["id", "v"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, v double")
+    return spark.range(0, n, _STEP).mapInArrow(run, "id long, v double")
 
 
 def text_rows(m: SparseMatrix, precision: int = 5, keys: DataFrame | None = None) -> DataFrame:
@@ -155,27 +211,65 @@ def write_parquet(m: SparseMatrix, path: str) -> None:
     m.df.sparkSession.createDataFrame([(m.n_rows, m.n_cols)], "n_rows long, n_cols long").write.mode("overwrite").parquet(f"{path}/shape")
 
 
-def write_binary(m: SparseMatrix, path: str, planar: bool = False) -> None:
-    """One file for other programs; a single writer, as the layout asks for, streaming ordered entries from Spark."""
-    sizes = np.zeros(m.n_rows, "<i4")
-    for r in m.df.groupBy("i").agg(F.count("*").alias("n")).toLocalIterator():
-        sizes[r.i] = r.n
-    with open(path, "wb") as f:
-        f.write(np.array([m.n_rows, m.n_cols], "<i4").tobytes() + np.array([len(sizes)], "<i8").tobytes() + sizes.tobytes())
-        ordered = m.df.orderBy("i", "j")
+def _blobs(df: DataFrame, kinds: dict[str, str]):
+    """A frame's columns in its order, batch by batch, as arrays of the given kinds: what reaches the driver is packed bytes."""
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(c).astype(k).tobytes()], pa.binary()) for c, k in zip(b.columns, kinds.values(), strict=True)], names=list(kinds))
+
+    packed = df.select(*kinds).mapInArrow(run, ", ".join(f"{c} binary" for c in kinds))
+    for r in packed.toLocalIterator(prefetchPartitions=True):
+        yield [np.frombuffer(r[c], k) for c, k in kinds.items()]
+
+
+def write_binary(m: SparseMatrix, path: str, planar: bool = False, size_prefix: bool = True) -> None:
+    """One file for other programs, as the layout asks for: executors sort and pack, the driver appends their packed batches."""
+    spark = m.df.sparkSession
+    with Scratch(spark) as scratch, _output(path) as f:
+        entries = scratch.stored(m.df, "entries")
+        f.write(np.array([m.n_rows, m.n_cols], "<i4").tobytes() + (np.array([m.n_rows], "<i8").tobytes() if size_prefix else b""))
+        at = 0
+        for i, n in _blobs(entries.groupBy("i").agg(F.count("*").alias("n")).orderBy("i"), {"i": "<i8", "n": "<i4"}):
+            while len(i):  # a batch may be far apart from the one before; zeros are written in steps as well
+                until = min(int(i[-1]) + 1, at + _STEP)
+                sizes, here = np.zeros(until - at, "<i4"), i < until
+                sizes[i[here] - at] = n[here]
+                f.write(sizes.tobytes())
+                i, n, at = i[~here], n[~here], until
+        for first in range(at, m.n_rows, _STEP):
+            f.write(bytes(4 * min(_STEP, m.n_rows - first)))
+        ordered = entries.orderBy("i", "j")
         if planar:
             for column, kind in (("j", "<i4"), ("v", "<f4")):
-                for r in ordered.select(column).toLocalIterator():
-                    f.write(np.array(r[0], kind).tobytes())
+                for (x,) in _blobs(ordered, {column: kind}):
+                    f.write(x.tobytes())
         else:
-            for r in ordered.toLocalIterator():
-                f.write(np.array([(r.j, r.v)], _PAIR).tobytes())
+            for j, v in _blobs(ordered, {"j": "<i4", "v": "<f4"}):
+                pairs = np.empty(len(j), [("j", "<i4"), ("v", "<f4")])
+                pairs["j"], pairs["v"] = j, v
+                f.write(pairs.tobytes())
+
+
+def write_weights(weights: DataFrame, path: str) -> None:
+    """(id, v) in order of id: an int64 count, then float32 values."""
+    with _output(path) as f:
+        f.write(np.array([weights.count()], "<i8").tobytes())
+        for (v,) in _blobs(weights.orderBy("id"), {"v": "<f4"}):
+            f.write(v.tobytes())
+
+
+def write_matrix(m: SparseMatrix, path: str) -> None:
+    """By suffix, as `read_matrix` reads: .bin, .pybin (planar), .parquet, otherwise text."""
+    if path.endswith((".bin", ".pybin")):
+        write_binary(m, path, planar=path.endswith(".pybin"))
+    elif path.endswith(".parquet"):
+        write_parquet(m, path)
+    else:
+        write_text(m, path)
 
 
 def report(m: SparseMatrix, entities: DataFrame, features: DataFrame, order: str = "desc") -> DataFrame:
     """(i, entity, rank, j, feature, v): entries with both names, by value ("desc", "asc") or as stored ("index")."""
-    from pyspark.sql import Window
-
     by = {"desc": [F.col("v").desc(), F.col("j")], "asc": [F.col("v"), F.col("j")], "index": [F.col("j")]}[order]
     named = m.df.join(entities.select(F.col("id").alias("i"), F.col("name").alias("entity")), "i").join(features.select(F.col("id").alias("j"), F.col("name").alias("feature")), "j")
     return named.select("i", "entity", F.row_number().over(Window.partitionBy("i").orderBy(*by)).alias("rank"), "j", "feature", "v")

@@ -84,18 +84,25 @@ def test_shortlist_is_the_halving_scan(spark):
     assert {r.j for r in got} == set(want)
 
 
-@pytest.mark.parametrize("kind", [0, 1])
-def test_learner_reaches_the_optimum(spark, kind):
+@pytest.mark.parametrize("kind,penalty", [(0, "l2"), (1, "l2"), (1, "l1")])
+def test_learner_reaches_the_optimum(spark, kind, penalty):
     rng = np.random.default_rng(kind)
     x = rng.standard_normal((40, 4))
     y = np.sign(x[:, 0] - 0.5 * x[:, 1] + 0.3)
     features = spark.createDataFrame([(i, 0, j, 0, float(x[i, j])) for i in range(40) for j in range(4)], "x long, y long, xf long, yf long, v double")
-    rows = spark.createDataFrame([(i, 0, int(y[i]), 1.0) for i in range(40)], "x long, y long, label int, c double")
-    w = [r.w for r in learner.fit(features, rows, kind, rounds=60, normalise=False, tolerance=1e-6).orderBy(F.col("xf").asc_nulls_last()).collect()]
+    rows = spark.createDataFrame([(i, 0, int(y[i]), 0.5 if penalty == "l1" else 1.0) for i in range(40)], "x long, y long, label int, c double")
+    model = learner.fit(features, rows, kind, rounds=60, normalise=False, tolerance=1e-6, penalty=penalty)
+    w = [r.w for r in model.orderBy(F.col("xf").asc_nulls_last()).collect()]
     w, z = np.array(w), np.column_stack([x, np.ones(40)])
     m = z @ w
     slope = -2 * y * np.maximum(0, 1 - y * m) if kind == 0 else -y / (1 + np.exp(y * m))
-    assert np.linalg.norm(w + z.T @ slope) < 1e-3
+    g = z.T @ slope * (0.5 if penalty == "l1" else 1)
+    if penalty == "l2":
+        assert np.linalg.norm(w + g) < 1e-3
+    else:
+        assert (w == 0).any() and (w != 0).any()
+        assert all(abs(g[k] + np.sign(w[k])) < 1e-3 if w[k] else abs(g[k]) <= 1 + 1e-3 for k in range(5))
+    assert max(r.residual for r in learner.residuals(features, rows, model, kind, False, penalty).collect()) < 1e-3
 
 
 def test_metrics_by_hand(spark):
