@@ -46,7 +46,8 @@ def product(a: SparseMatrix, b: SparseMatrix, agg: str = "sum", top: int | None
 def noisy_top_product(a: SparseMatrix, b: SparseMatrix, top: int, seed: int = 0) -> SparseMatrix:
     """The product's best by value plus seeded noise within 1e-5, which breaks ties at random."""
     out = product(a, b)
-    noise = (F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(2_000_001)) - 1_000_000) / 1e11
+    digits = F.substring(F.md5(F.concat_ws("_", "i", "j", F.lit(seed))), 1, 8)
+    noise = (F.conv(digits, 16, 10).cast("long") % 2_000_001 - 1_000_000) / 1e11
     return out.with_df(out.df.withColumn("_k", F.row_number().over(Window.partitionBy("i").orderBy((F.col("v") + noise).desc(), "j"))).where(F.col("_k") <= top))
 
 
@@ -95,6 +96,11 @@ def best_per_group(scores: DataFrame, key: str, other: str, group: str, k: int |
     return out.withColumn("_k", rank).where(F.col("_k") <= k).drop("_k")
 
 
+def best_gradients(scores: DataFrame, key: str, other: str, group: str, threshold: float) -> DataFrame:
+    """For each key, the best row of each group, if it reaches the threshold."""
+    return best_per_group(scores.where(F.col("s") >= threshold), key, other, group, None)
+
+
 def gradient_score(alpha: float, reg: float) -> Column:
     """(co - alpha t) / (t + reg) with t = a1 a2."""
     t = F.col("a1") * F.col("a2")

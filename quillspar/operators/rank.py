@@ -10,7 +10,7 @@ from ..matrix import SparseMatrix
 
 def _order(order: str, seed: int = 0):
     """Total orders: by value, ties to the smaller feature; or by a seeded hash."""
-    return {"desc": [F.col("v").desc(), F.col("j")], "asc": [F.col("v"), F.col("j")], "random": [F.xxhash64("i", "j", F.lit(seed)), F.col("j")]}[order]
+    return {"desc": [F.col("v").desc(), F.col("j")], "asc": [F.col("v"), F.col("j")], "random": [F.md5(F.concat_ws("_", "i", "j", F.lit(seed))), F.col("j")]}[order]
 
 
 def ranks(m: SparseMatrix, order: str = "desc") -> SparseMatrix:
@@ -26,4 +26,4 @@ def keep(m: SparseMatrix, k: int, order: str = "desc", seed: int = 0) -> SparseM
 
 def sample_integers(spark, low: int, high: int, n: int, seed: int = 0):
     """n distinct integers of [low, high], ascending."""
-    return spark.range(low, high + 1).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).orderBy("id")
+    return spark.range(low, high + 1).orderBy(F.md5(F.concat_ws("_", "id", F.lit(seed))), "id").limit(n).orderBy("id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
+from ..sources.scratch import Scratch
 from .elementwise import TINY
 
 
@@ -45,15 +46,20 @@ def mask_entities(m: SparseMatrix, wanted: DataFrame, shrink: bool = False) -> S
 
 def positions(ids: DataFrame, key: str) -> DataFrame:
     """(key, pos): 0, 1, ... in the order of distinct keys, by range partitions: counts of each, then ranks within."""
-    parts = ids.select(key).repartitionByRange(key).withColumn("_p", F.spark_partition_id()).cache()
-    sizes = sorted((r["_p"], r["n"]) for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect())
+    return _ranked(ids.select(key), key).select(key, "pos")
+
+
+def _ranked(df: DataFrame, *keys: str) -> DataFrame:
+    """df with pos, its rows' places in the order of the keys; the ranges are written once, so that they stay as they are."""
+    spark = df.sparkSession
+    parts = Scratch(spark).stored(df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), "ranges")
     total, base = 0, []
-    for p, n in sizes:
+    for p, n in sorted((r["_p"], r["n"]) for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect()):
         base.append((p, total))
         total += n
-    starts = ids.sparkSession.createDataFrame(base, "_p int, _base long")
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(key)).cast("long") - 1
-    return parts.withColumn("_r", rank).join(F.broadcast(starts), "_p").select(key, (F.col("_base") + F.col("_r")).alias("pos"))
+    starts = spark.createDataFrame(base, "_p int, _base long")  # a row for each range
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*keys)).cast("long") - 1
+    return parts.withColumn("_r", rank).join(F.broadcast(starts), "_p").withColumn("pos", F.col("_base") + F.col("_r")).drop("_p", "_r", "_base")
 
 
 def chunk(m: SparseMatrix, start: int, count: int) -> SparseMatrix:
@@ -82,15 +88,7 @@ def seen_labels(yy: SparseMatrix, xy: SparseMatrix) -> SparseMatrix:
 
 def ordinals(m: SparseMatrix) -> DataFrame:
     """(i, j, v, ordinal): places of the entries in (i, j) order."""
-    spark = m.df.sparkSession
-    keyed = m.df.repartitionByRange("i", "j").withColumn("_p", F.spark_partition_id()).cache()
-    total, base = 0, []
-    for p, n in sorted((r["_p"], r["n"]) for r in keyed.groupBy("_p").agg(F.count("*").alias("n")).collect()):
-        base.append((p, total))
-        total += n
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("i", "j")).cast("long") - 1
-    starts = F.broadcast(spark.createDataFrame(base, "_p int, _base long"))
-    return keyed.withColumn("_r", rank).join(starts, "_p").select("i", "j", "v", (F.col("_base") + F.col("_r")).alias("ordinal"))
+    return _ranked(m.df, "i", "j").select("i", "j", "v", F.col("pos").alias("ordinal"))
 
 
 def slice_ordinals(m: SparseMatrix, wanted: DataFrame) -> SparseMatrix:

@@ -47,7 +47,7 @@ def nnz(m: SparseMatrix) -> DataFrame:
 
 def bytes_estimate(m: SparseMatrix) -> int:
     """Catalyst's size estimate of the entries."""
-    return int(m.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(m.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def recall(m: SparseMatrix, truth: SparseMatrix) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
 from ..operators.products import association, best_by
+from ..sources.scratch import Scratch
 
 
 def cooccurrences(xx: SparseMatrix, yy: SparseMatrix, xy: SparseMatrix) -> DataFrame:
@@ -76,9 +77,9 @@ class Maps:
         return self.by_point.unionByName(self.by_label)
 
 
-def mine(xx: SparseMatrix, yy: SparseMatrix, xy: SparseMatrix, wf: DataFrame, wl: DataFrame, k: int = 10, alpha: float = 0.2, threshold: float = 0.0, direct_weight: float = 0.2) -> Maps:
-    """Both maps and the name matches; the score table is computed once."""
-    scores = scored(xx, yy, xy, alpha).persist()
+def mine(xx: SparseMatrix, yy: SparseMatrix, xy: SparseMatrix, wf: DataFrame, wl: DataFrame, k: int = 10, alpha: float = 0.2, threshold: float = 0.0, direct_weight: float = 0.2, scratch: Scratch | None = None) -> Maps:
+    """Both maps and the name matches; the score table is written once, to a scratch that outlives the maps' use."""
+    scores = (scratch or Scratch(xx.df.sparkSession)).stored(scored(xx, yy, xy, alpha), "scores")
     by_point, by_label = cut(scores, "xf", "yf", k, threshold), cut(scores, "yf", "xf", k, threshold)
     matches = name_matches(wf, wl)
     if direct_weight > 0:

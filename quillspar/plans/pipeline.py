@@ -13,6 +13,7 @@ from ..operators.elementwise import normalise, set_values
 from ..operators.select import seen_labels
 from ..operators.stats import recall
 from ..sources import formats
+from ..sources.scratch import Scratch
 from . import learner, metrics, scoring
 from .mining import Maps, mine
 from .params import Params
@@ -30,16 +31,21 @@ class Inputs:
     wl: DataFrame
 
 
-def mine_maps(data: Inputs, p: Params) -> Maps:
+def prepare(xx: SparseMatrix | None = None, xy: SparseMatrix | None = None, yy: SparseMatrix | None = None, weighted: bool = False) -> tuple[SparseMatrix | None, ...]:
+    """Points and labels of unit length; with `weighted`, all training pairs count 1 whatever their stored value."""
+    return (xx and normalise(xx)), (set_values(xy, 1.0) if xy and weighted else xy), (yy and normalise(yy))
+
+
+def mine_maps(data: Inputs, p: Params, scratch: Scratch | None = None) -> Maps:
     """Stage A: seen labels only, features as present or absent."""
-    return mine(data.xx, seen_labels(data.yy, data.xy), data.xy, data.wf, data.wl, p.bs_count, p.bs_alpha, p.bs_threshold, p.bs_direct_wt)
+    return mine(data.xx, seen_labels(data.yy, data.xy), data.xy, data.wf, data.wl, p.bs_count, p.bs_alpha, p.bs_threshold, p.bs_direct_wt, scratch)
 
 
-def train(data: Inputs, maps: Maps, p: Params) -> tuple[DataFrame, DataFrame]:
+def train(data: Inputs, maps: Maps, p: Params, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Stage B: the model, and a row of what it rests on (recall of the shortlist)."""
-    xx, yy = normalise(data.xx), normalise(seen_labels(data.yy, data.xy))
+    xx, _, yy = prepare(data.xx, None, seen_labels(data.yy, data.xy))
     short = shortlist(xx, yy, maps.pattern, p.shortyK, p.F)
-    short = short.with_df(short.df.persist())
+    short = short.with_df((scratch or Scratch(xx.df.sparkSession)).stored(short.df, "shortlist"))
     features = learner.pair_features(short, xx, yy, maps.pattern)
     if p.bilinear_add_bias:
         features = features.unionByName(learner.label_bias_features(short, yy))
@@ -48,35 +54,40 @@ def train(data: Inputs, maps: Maps, p: Params) -> tuple[DataFrame, DataFrame]:
     return model, recall(set_values(short, 1.0), set_values(data.xy, 1.0))
 
 
-def predict(points: SparseMatrix, labels: SparseMatrix, maps: Maps, model: DataFrame, p: Params) -> DataFrame:
-    """Stage C: all labels are candidates, also those that no training pair has."""
-    xx, yy = normalise(points), normalise(labels)
+def predict(points: SparseMatrix, labels: SparseMatrix, maps: Maps, model: DataFrame, p: Params, scratch: Scratch | None = None) -> DataFrame:
+    """Stage C: all labels are candidates, also those that no training pair has. The shortlist is written to the scratch."""
+    xx, _, yy = prepare(points, None, labels)
     short = shortlist(xx, yy, maps.pattern, p.shortyK, p.F)
-    return scoring.mixed(short.with_df(short.df.persist()), xx, yy, model, maps.matches, p.score_alpha, p.bilinear_classifier_kind)
+    short = short.with_df((scratch or Scratch(xx.df.sparkSession)).stored(short.df, "shortlist"))
+    return scoring.mixed(short, xx, yy, model, maps.matches, p.score_alpha, p.bilinear_classifier_kind)
 
 
 def main(args: list[str]) -> None:
     """Command line: stages hand over through Parquet tables in model_dir; scores and metrics go to res_dir."""
-    p = Params.parse(args)
     spark = SparkSession.builder.appName("quillspar").getOrCreate()
+    with Scratch(spark) as scratch:
+        run(spark, Params.parse(args), scratch)
+
+
+def run(spark: SparkSession, p: Params, scratch: Scratch) -> None:
     read = lambda path: formats.read_matrix(spark, path)
     yy, wf, wl = read(p.Y_Yf), formats.read_names(spark, p.Xf), formats.read_names(spark, p.Yf)
     table = lambda name: f"{p.model_dir}/{name}.parquet"
     if p.type in ("all", "train", "xhtp_approx", "xhtp_fine_tune"):
         data = Inputs(read(p.trn_X_Xf), yy, read(p.trn_X_Y), wf, wl)
     if p.type in ("all", "train", "xhtp_approx"):
-        maps = mine_maps(data, p)
+        maps = mine_maps(data, p, scratch)
         for name, df in (("by_point", maps.by_point), ("by_label", maps.by_label), ("matches", maps.matches)):
             df.write.mode("overwrite").parquet(table(name))
     maps = Maps(*(spark.read.parquet(table(n)) for n in ("by_point", "by_label", "matches")))
     if p.sparsity_pattern_file:
         maps = Maps(spark.read.parquet(p.sparsity_pattern_file), maps.by_label.limit(0), maps.matches)
     if p.type in ("all", "train", "xhtp_fine_tune"):
-        model, found = train(data, maps, p)
+        model, found = train(data, maps, p, scratch)
         model.write.mode("overwrite").parquet(table("model"))
         found.write.mode("overwrite").parquet(table("recall"))
     if p.type in ("all", "predict"):
-        scores = predict(read(p.tst_X_Xf), yy, maps, spark.read.parquet(table("model")), p)
+        scores = predict(read(p.tst_X_Xf), yy, maps, spark.read.parquet(table("model")), p, scratch)
         scores.write.mode("overwrite").parquet(f"{p.res_dir}/scores.parquet")
         if p.tst_X_Y:
             truth, made = read(p.tst_X_Y), spark.read.parquet(f"{p.res_dir}/scores.parquet")

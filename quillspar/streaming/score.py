@@ -9,6 +9,7 @@ from ..matrix import SparseMatrix
 from ..plans.mining import Maps
 from ..plans.params import Params
 from ..plans.pipeline import predict
+from ..sources.scratch import Scratch
 
 
 def score_stream(entries: DataFrame, n_cols: int, labels: SparseMatrix, maps: Maps, model: DataFrame, params: Params, path: str, checkpoint: str) -> StreamingQuery:
@@ -16,6 +17,7 @@ def score_stream(entries: DataFrame, n_cols: int, labels: SparseMatrix, maps: Ma
 
     def one(batch: DataFrame, number: int) -> None:
         points = SparseMatrix.of(batch, n_cols=n_cols)
-        predict(points, labels, maps, model, params).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with Scratch(batch.sparkSession) as scratch:
+            predict(points, labels, maps, model, params, scratch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return entries.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
