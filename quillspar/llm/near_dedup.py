@@ -157,11 +157,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     none is found only through others of its cluster.
 
     Null and empty texts, and those of white space, have no shingles, are linked with nothing, and stay. Rows
-    that repeat a doc_id are one node. Rows without an id are left out. Other columns are not read.
+    that repeat a doc_id are one node, each with a row in the result. Rows without an id are linked with nothing
+    either, as nothing can name them: they have a null component and stay. An empty table gives an empty result.
+    Sets are equal where they have as many shingles and two equal 64-bit sums of them; shingles are 64-bit hashes of
+    their words. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    source = need(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    source = need(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = TensorSketch(tables, rows)
 
     def run(batches):
@@ -186,7 +189,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     kind = "doc_id long, n_shingles long, c1 long, c2 long, half array<long>"
     sketched = stored(source.mapInArrow(run, kind), "sketches")
-    reps = stored(sketched.where("n_shingles > 0").groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half")), "reps")
+    reps = stored(sketched.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half")), "reps")
 
     halves = reps.select("rep", F.posexplode("half").alias("place", "h"))
     shared = halves.groupBy("place", "h").agg(F.count("*").alias("n")).where("n > 1").select("place", "h")
@@ -235,5 +238,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     found = components(together.mapInArrow(confirm, "a long, b long")).toDF("rep", "component_id")
     named = reps.join(found, "rep", "left").select("n_shingles", "c1", "c2", F.coalesce("component_id", "rep").alias("component_id"))
     out = sketched.join(named.hint("merge"), ["n_shingles", "c1", "c2"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
