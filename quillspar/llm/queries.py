@@ -93,17 +93,30 @@ SQL = {
         WITH d AS (SELECT doc_id, sha256({_CLEAN}) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    # tb: templates' bigrams; b: texts' bigrams with their last place before; h: those of a template; ws: windows from
+    # one to another; bw: the best from each start; gr: the best window left, and then those that share no word with it
     "op3_licence_dice": f"""
-        WITH t0 AS (SELECT name, {_WORDS.format("body")} AS w FROM (VALUES {_TEMPLATES}) v(name, body)),
-        t AS (SELECT name, {_PAIRS} AS g FROM t0),
-        l0 AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-        l1 AS (SELECT doc_id, UNNEST(lines) AS line, UNNEST(range(1, len(lines) + 1)) AS line_no FROM l0),
-        l2 AS (SELECT doc_id, line_no, {_WORDS.format("line")} AS w FROM l1),
-        l AS (SELECT doc_id, line_no, {_PAIRS} AS g FROM l2 WHERE len(w) > 1),
-        s AS (SELECT doc_id, line_no, name, len(l.g) + len(t.g) AS total, len(list_intersect(l.g, t.g)) AS shared FROM l JOIN t ON len(l.g) * 120 >= len(t.g) * 80 AND len(t.g) * 120 >= len(l.g) * 80),
-        m AS (SELECT doc_id, line_no, name, CAST(2 * shared AS DOUBLE) / total AS dice FROM s WHERE 2 * shared * 100 >= 80 * total),
-        r AS (SELECT doc_id, name, dice, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line_no, name) AS k, count(*) OVER (PARTITION BY doc_id) AS x FROM m),
-        c AS (SELECT doc_id, count(DISTINCT line_no) AS n FROM m GROUP BY doc_id)
-        SELECT l0.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(c.n, 0) AS n_matches, r.name AS licence, r.dice, CAST(r.line_no AS BIGINT) AS line_no
-        FROM l0 LEFT JOIN c ON l0.doc_id = c.doc_id LEFT JOIN r ON l0.doc_id = r.doc_id AND r.k = 1""",
+        WITH RECURSIVE t0 AS (SELECT name, {_WORDS.format("body")} AS w FROM (VALUES {_TEMPLATES}) v(name, body)),
+        t AS (SELECT row_number() OVER () AS tid, name, {_PAIRS} AS g FROM t0),
+        tb AS (SELECT tid, len(g) AS m, UNNEST(g) AS g FROM t),
+        d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+        l0 AS (SELECT rid, string_split(text, chr(10)) AS lines FROM d),
+        l1 AS (SELECT rid, UNNEST(lines) AS line, UNNEST(range(1, len(lines) + 1)) AS line_no FROM l0),
+        l AS (SELECT rid, line_no, sum(len({_WORDS.format("line")})) OVER (PARTITION BY rid ORDER BY line_no) AS words FROM l1),
+        w0 AS (SELECT rid, {_WORDS.format("text")} AS w FROM d),
+        b0 AS (SELECT rid, UNNEST(list_transform(range(1, greatest(len(w), 1)), lambda i: concat(w[i], ' ', w[i + 1]))) AS g, UNNEST(range(0, len(w) - 1)) AS p FROM w0),
+        b AS (SELECT *, lag(p) OVER (PARTITION BY rid, g ORDER BY p) AS before, lead(p) OVER (PARTITION BY rid, g ORDER BY p) AS after FROM b0),
+        k AS (SELECT rid, tid FROM (SELECT DISTINCT rid, g FROM b0) u JOIN tb USING (g) GROUP BY rid, tid, m HAVING count(*) * 120 >= m * 80),
+        h AS (SELECT b.rid, tb.tid, tb.m, p, before, after FROM k JOIN tb ON k.tid = tb.tid JOIN b ON b.rid = k.rid AND b.g = tb.g),
+        ws AS (SELECT x.rid, x.tid, x.m, x.p AS i, y.p AS j FROM h x JOIN h y ON x.rid = y.rid AND x.tid = y.tid AND y.p >= x.p AND (x.after IS NULL OR y.p < x.after) AND (y.before IS NULL OR y.before < x.p)),
+        s AS (SELECT rid, tid, i, j, count(*) AS s FROM ws JOIN h USING (rid, tid) WHERE p BETWEEN i AND j AND (before IS NULL OR before < i) GROUP BY rid, tid, i, j),
+        n AS (SELECT rid, i, j, count(*) AS n FROM (SELECT DISTINCT rid, i, j FROM ws) u JOIN b USING (rid) WHERE p BETWEEN i AND j AND (before IS NULL OR before < i) GROUP BY rid, i, j),
+        di AS (SELECT rid, tid, i, j, CAST(2 * s AS DOUBLE) / (m + n) AS dice FROM ws JOIN s USING (rid, tid, i, j) JOIN n USING (rid, i, j) WHERE 2 * s * 100 >= 80 * (m + n)),
+        bw AS (SELECT rid, name, i, j, dice FROM di JOIN t USING (tid) QUALIFY row_number() OVER (PARTITION BY rid, tid, i ORDER BY dice DESC, j) = 1),
+        gr AS (
+            SELECT rid, list(struct_pack(dice := dice, i := i, j := j, name := name) ORDER BY dice DESC, i, j DESC, name) AS ws, 0 AS n FROM bw GROUP BY rid
+            UNION ALL SELECT rid, list_filter(ws[2:], lambda x: x.i > ws[1].j + 1 OR x.j + 1 < ws[1].i), n + 1 FROM gr WHERE len(ws) > 0),
+        c AS (SELECT rid, max(n) AS n, max(CASE WHEN n = 0 THEN ws[1] END) AS best FROM gr GROUP BY rid)
+        SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_matches, c.best.name AS licence, c.best.dice AS dice, CAST((SELECT min(line_no) FROM l WHERE l.rid = d.rid AND l.words > c.best.i) AS BIGINT) AS line_no
+        FROM d JOIN l0 USING (rid) LEFT JOIN c USING (rid)""",
 }
