@@ -672,3 +672,106 @@ def test_toxicity_features_agree():
     for t in [*texts, *texts, None, ""]:
         assert {every[::2][k] for k in chain.row(t)} == toxicity.features(toxicity.words_of(t)) & set(vocabulary)
     assert toxicity.features({"abcd", "abce"}) >= {"abc-", "abc+"} and "abc+" not in toxicity.features({"abcd"})
+
+
+def test_licence_sql_agrees_with_all_windows(spark):
+    """The SQL that the query is held against, on the texts that the windows are tested with."""
+    import duckdb
+    import pandas as pd
+
+    rng = np.random.default_rng(12)
+    templates = [t for t in licences.TEMPLATES if len(t[1].split()) < 40]
+    texts = [None, "", "All rights\nreserved."]
+    for _ in range(80):
+        words = []
+        for _ in range(int(rng.integers(1, 4))):
+            part = templates[rng.integers(0, len(templates))][1].split()
+            for _ in range(int(rng.integers(0, 4))):
+                part[rng.integers(0, len(part))] = str(rng.choice(["zz", "the", "license", part[rng.integers(0, len(part))]]))
+            words += ["foo"] * int(rng.integers(0, 4)) + part * int(rng.integers(1, 3))
+        texts.append("".join(w + str(rng.choice([" ", "\n", ", "])) for w in words))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    found = con.execute(queries.SQL["op3_licence_dice"]).fetchall()
+    want = licences.scan_licences(documents(spark, list(enumerate(texts)))).select("doc_id", "n_lines", "n_matches", "licence", "dice", "line_no").collect()
+    assert Counter(found) == Counter(tuple(r) for r in want) and sum(r[2] for r in found) > 80
+    assert [r[2] for r in sorted(found)[3:]] == [len(brute_windows(t, licences.TEMPLATES)) for t in texts[3:]]
+
+
+# ---- what all operators must bear: null and repeated ids, repeated rows, empty tables, columns of clashing names
+
+
+CLASHES = ("keep_id", "KEPT", "n_tokens", "start", "ids", "dice", "shard", "bin", "half", "rep", "cluster", "component_id", "n_shingles", "hash", "digest", "content", "w", "n", "a.b")
+EDGE = [(1, None), (2, ""), (3, " \t"), (4, "one two three four five"), (4, "one two three four five"), (4, "another text of that id, all rights reserved."), (5, "one  two three four five"), (None, "one two three four five"), (None, "one two three four five"), (None, None), (6, "Licensed under CC BY 4.0."), (7, "word " * 3000), (8, "word " * 2999 + "end"), (9, "ONE two three four five")]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    rows = [(i, t, None, None if k % 4 == 3 else f"s{k % 4}", None, *("own",) * len(CLASHES)) for k, (i, t) in enumerate(EDGE)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)).cache()
+
+
+def of_rows(df, *columns):
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+@pytest.mark.parametrize("memory", [64 << 20, 100])
+def test_exact_dedup_on_edge_cases(edge, memory):
+    clean = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in EDGE]
+    want = Counter()
+    for i, t in clean:
+        ids = [j for j, x in clean if x == t]
+        least = min((j for j in ids if j is not None), default=None)
+        want[i, least, len(ids), i == least, sha256(t.encode()).hexdigest()] += 1
+    assert of_rows(exact_dedup.exact_dedup(edge, memory), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+
+
+def test_near_duplicates_on_edge_cases(edge):
+    got = of_rows(near_dedup.near_duplicates(edge, 3, 85, 100), "doc_id", "n_shingles", "component_id", "kept")
+    rest = [(i, len(word_shingles(t, 3))) for i, t in EDGE]
+    parts = {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 4}  # 7 has one shingle, 8 has two
+    assert got == Counter((i, n, parts.get(i), i is None or parts[i] == i) for i, n in rest)
+
+
+def test_licences_on_edge_cases(edge):
+    table, want = licences.Templates(licences.TEMPLATES, 80, 100), Counter()
+    for i, t in EDGE:
+        want[i, len(licences.matches(licences.words_of(t), table))] += 1
+    assert of_rows(licences.scan_licences(edge), "doc_id", "n_matches") == want and want[4, 1] == 1 and want[6, 1] == 1
+
+
+def test_packing_on_edge_cases(edge):
+    got = packing.pack(edge, 64, 5).collect()
+    assert Counter(r.doc_id for r in got if r.bin is None) == Counter(i for i, t in EDGE if not (t or "").split())
+    words, bins = Counter(), defaultdict(list)
+    for r in got:
+        words[r.doc_id] += r.length
+        if r.bin is not None:
+            bins[r.shard, r.bin].append(r)
+    want = Counter()
+    for i, t in EDGE:
+        want[i] += len((t or "").split())
+    assert words == want and all(sum(r.length for r in b) <= 64 for b in bins.values())
+    assert packing.pack(edge.limit(0)).count() == 0
+
+
+def test_tokens_on_edge_cases(spark, edge):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    got = of_rows(sentencepieces.digests(sentencepieces.encode_documents(edge, path)), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert got == Counter((i, *sentencepieces.reference_row(path, t)) for i, t in EDGE)
+    assert sentencepieces.encode_documents(edge.limit(0), path).count() == 0
+    path = queries.vocabulary("word_bpe_49k.json")
+    found = token_store.digests(token_store.read_tokens(spark, token_store.write_tokens(edge, path, shards=3))).orderBy("start").collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == Counter((i, *token_store.reference_crc(path, t)) for i, t in EDGE)
+    assert [r.start for r in found] == [sum(x.n_tokens for x in found[:k]) for k in range(len(found))]
+    assert [r.doc_id or 0 for r in found] == sorted(i or 0 for i, _ in EDGE)
+
+
+def test_scores_on_edge_cases(spark, edge, chain):
+    got = toxicity.score_toxicity(edge, chain)
+    assert got.columns == [*edge.columns, "toxicity", "toxic_score", "is_toxic"] and got.count() == len(EDGE)
+    model = quality.train_neighbours(edge, spark.createDataFrame([(4, 1), (5, 0), (6, 0), (7, 1), (None, 1)], "doc_id long, label int"), k=3)
+    assert Counter(r.doc_id for r in quality.score_quality(edge, model).collect()) == Counter(i for i, _ in EDGE)
+    cut = suffix_dedup.suffix_dedup(edge, 12, carry=CLASHES)
+    assert of_rows(cut, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_spans(EDGE, 12)
+    assert all(r[6:] == ("own",) * len(CLASHES) for r in cut.collect())
