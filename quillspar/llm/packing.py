@@ -60,7 +60,7 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_items: int = 4000, id_col:
 
     Documents without words (null, empty, white space) take no room: one row with a null bin, shard -1. A
     null source conflicts with nothing. Null ids are packed like others. Repeated rows are items of their
-    own, and never share a bin. An empty table gives an empty result. Other columns are not read.
+    own, and never share a bin. Lengths and codes are written once before packing. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)

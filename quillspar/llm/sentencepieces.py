@@ -97,7 +97,8 @@ def encode_documents(docs: DataFrame, model_path: str, table_size: int = 700_000
     library segment each once, and joins the ids back by position. A table for the whole corpus would grow
     with it and would shuffle every word; a table per worker needs no shuffle.
 
-    Null texts count as empty and give the end id alone. Ids may repeat or be null. Other columns are not read.
+    Null texts count as empty and give the end id alone. Every row has a row in the result: ids and rows may repeat, ids
+    may be null, and an empty table gives an empty result. Other columns are not read.
     """
     small_batches(docs.sparkSession)
 
