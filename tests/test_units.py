@@ -147,3 +147,94 @@ def test_stemmer():
 def test_bigrams(spark):
     df = spark.createDataFrame([("a b c",), ("a",), (None,)], "t string")
     assert [r[0] for r in df.select(T.bigrams(T.tokens(F.col("t")))).collect()] == [["a b", "b c"], [], []]
+
+
+def tables(spark, tmp_path):
+    """A small world: points with three features, labels with two, names that match."""
+    rng = np.random.default_rng(5)
+    xx = [(i, int(j), 1.0) for i in range(40) for j in rng.choice(6, 3, replace=False)]
+    yy = [(y, int(f), 1.0) for y in range(8) for f in rng.choice(6, 2, replace=False)]
+    of = {y: {f for a, f, _ in yy if a == y} for y in range(8)}
+    xy = [(i, y, 1.0) for i in range(40) for y in range(7) if len(of[y] & {j for a, j, _ in xx if a == i}) == 2]
+    names = [(k, f"word{k}") for k in range(6)]
+    formats.write_matrix(matrix(spark, xx, 40, 6), f"{tmp_path}/xx.txt")
+    formats.write_matrix(matrix(spark, yy, 8, 6), f"{tmp_path}/yy.bin")
+    formats.write_matrix(matrix(spark, xy, 40, 8), f"{tmp_path}/xy.parquet")
+    formats.write_names(spark.createDataFrame(names, "id long, name string"), f"{tmp_path}/wf")
+    formats.write_names(spark.createDataFrame([(k, f"t_{n}") for k, n in names], "id long, name string"), f"{tmp_path}/wl")
+    return ["-trn_X_Xf", f"{tmp_path}/xx.txt", "-tst_X_Xf", f"{tmp_path}/xx.txt", "-Y_Yf", f"{tmp_path}/yy.bin", "-trn_X_Y", f"{tmp_path}/xy.parquet", "-tst_X_Y", f"{tmp_path}/xy.parquet", "-Xf", f"{tmp_path}/wf", "-Yf", f"{tmp_path}/wl", "-bs_count", "6", "-shortyK", "8", "-res_dir", f"{tmp_path}/res", "-model_dir", f"{tmp_path}/res/model"], xx, yy, xy
+
+
+def test_command_line_end_to_end(spark, tmp_path):
+    """Stages one by one give what all at once give; true labels come first; the stream ranks as the batch does."""
+    from quillspar.plans import pipeline
+    from quillspar.streaming.score import score_stream
+
+    args, xx, yy, xy = tables(spark, tmp_path)
+    for stage in ("xhtp_approx", "xhtp_fine_tune", "predict"):
+        pipeline.main([*args, "-type", stage])
+    read = lambda name: spark.read.parquet(f"{tmp_path}/res/{name}.parquet")
+    scores = {(r.x, r.y): r.score for r in read("scores").collect()}
+    assert read("model/recall").first().recall == 100 and len(scores) == 40 * 8
+    metrics_ = {(r.metric, r.k): r.value for r in read("metrics").collect()}
+    assert set(metrics_) == {(m, k) for m in ("P", "nDCG", "PSP", "PSnDCG") for k in range(1, 6)} and metrics_["nDCG", 5] > 80
+    pairs = {(x, y) for x, y, _ in xy}
+    assert np.mean([scores[p] for p in pairs]) > np.mean([s for p, s in scores.items() if p not in pairs]) + 0.1
+    model = read("model/model")
+    t = {(r.xf, r.yf): r.w for r in model.collect()}
+    unit = lambda m, k: {j: v / np.sqrt(sum(b * b for a, _, b in m if a == k)) for a, j, v in m if a == k}
+    for x, y in list(scores)[:20]:  # scores by hand
+        margin = sum(v * w * t.get((j, f), 0.0) for j, v in unit(xx, x).items() for f, w in unit(yy, y).items()) + t[None, None]
+        match = sum(v * w for j, v in unit(xx, x).items() for f, w in unit(yy, y).items() if j == f)
+        assert scores[x, y] == pytest.approx(0.9 * np.exp(-max(0, 1 - margin) ** 2) + 0.1 * match)
+    p = Params.parse(args)
+    maps = mining.Maps(*(read(f"model/{n}") for n in ("by_point", "by_label", "matches")))
+    matrix(spark, xx, 40, 6).df.repartition(1).write.parquet(f"{tmp_path}/stream")
+    entries = spark.readStream.schema("i long, j long, v double").parquet(f"{tmp_path}/stream")
+    score_stream(entries, 6, matrix(spark, yy, 8, 6), maps, model, p, f"{tmp_path}/scored", f"{tmp_path}/checkpoint").awaitTermination()
+    assert {(r.x, r.y): r.score for r in spark.read.parquet(f"{tmp_path}/scored").collect()} == pytest.approx(scores)
+    pipeline.main([*args[:-4], "-res_dir", f"{tmp_path}/all", "-model_dir", f"{tmp_path}/all/model"])
+    assert {(r.x, r.y): r.score for r in spark.read.parquet(f"{tmp_path}/all/scores.parquet").collect()} == pytest.approx(scores)
+
+
+def test_lines_are_numbered_across_files_and_splits(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        folder = tmp_path / "lines"
+        folder.mkdir()
+        want = []
+        for f in range(3):
+            lines = [f"{f} {k} " + "9 " * (k % 13) for k in range(200 + f)] if f != 1 else []
+            (folder / f"part-{f}.txt").write_text("".join(x + "\n" for x in lines))
+            want += lines
+        got = formats.numbered_lines(spark, str(folder)).orderBy("n").collect()
+        assert [(r.n, r.value) for r in got] == list(enumerate(want))
+        values = formats.read_values(spark, str(folder)).orderBy("id").collect()
+        assert [tuple(r) for r in values] == list(enumerate(float(t) for x in want for t in x.split()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_binary_files_in_runs(spark, tmp_path, monkeypatch):
+    """Runs of a few entries, rows without any at both ends and in between, cut files."""
+    rng = np.random.default_rng(7)
+    entries = [(int(i), int(j), float(rng.integers(1, 9))) for i in rng.choice(np.arange(3, 60), 25, replace=False) for j in sorted(rng.choice(50, int(rng.integers(1, 9)), replace=False))]
+    m = matrix(spark, entries, 70, 50)
+    monkeypatch.setattr(formats, "_STEP", 16)
+    for planar in (False, True):
+        for prefix in (False, True):
+            path = f"{tmp_path}/m{planar}{prefix}.bin"
+            formats.write_binary(m, path, planar, prefix)
+            back = formats.read_binary(spark, path, planar, prefix)
+            assert (back.n_rows, back.n_cols) == (70, 50) and cells(back) == cells(m)
+    whole = (tmp_path / "mFalseTrue.bin").read_bytes()
+    (tmp_path / "cut.bin").write_bytes(whole[:-4])
+    with pytest.raises(ValueError):
+        formats.read_binary(spark, f"{tmp_path}/cut.bin")
+
+
+def test_settings_from_a_file(tmp_path):
+    (tmp_path / "settings").write_text("bs_count 7\nscore_alpha 0.5\n")
+    p = Params.parse(["-bs_count", "3", f"@{tmp_path}/settings", "-F", "2"])
+    assert (p.bs_count, p.score_alpha, p.F) == (7, 0.5, 2)
