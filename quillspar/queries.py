@@ -314,10 +314,10 @@ def _scored(d: Data) -> DataFrame:
 query("cooccurrence", f"WITH {YS}, {CO} SELECT * FROM st", "xx", "yy", "xy")(lambda d: mining.cooccurrences(d.xx, S.seen_labels(d.yy, d.xy), d.xy))
 query("assoc_topk_by_xf", f"WITH {YS}, {CO}, {BYX} SELECT xf, yf, round(w, 12) AS w FROM bx", "xx", "yy", "xy")(lambda d: rounded(mining.cut(_scored(d), "xf", "yf", 10, 0.0), "w", digits=12))
 query("assoc_topk_by_yf", f"WITH {YS}, {CO}, {BYY} SELECT xf, yf, round(w, 12) AS w FROM bl", "xx", "yy", "xy")(lambda d: rounded(mining.cut(_scored(d), "yf", "xf", 10, 0.0), "w", digits=12))
-query("assoc_threshold", f"WITH {YS}, {CO} SELECT xf, yf, round(s - CAST(0.05 AS DOUBLE), 12) AS w FROM (SELECT *, row_number() OVER (PARTITION BY xf ORDER BY s DESC, yf) AS r FROM sc) t WHERE (r <= 10 OR s > 100) AND s > CAST(0.05 AS DOUBLE)", "xx", "yy", "xy")(lambda d: rounded(mining.cut(_scored(d), "xf", "yf", 10, 0.05), "w", digits=12))
+query("assoc_threshold", f"WITH {YS}, {CO} SELECT xf, yf, round(s - CAST(0.005 AS DOUBLE), 12) AS w FROM (SELECT *, row_number() OVER (PARTITION BY xf ORDER BY s DESC, yf) AS r FROM sc) t WHERE (r <= 10 OR s > 100) AND s > CAST(0.005 AS DOUBLE)", "xx", "yy", "xy")(lambda d: rounded(mining.cut(_scored(d), "xf", "yf", 10, 0.005), "w", digits=12))
 query("assoc_group_best", f"WITH {YS}, {CO}, g AS (SELECT sc.*, right(name, 2) AS grp FROM sc JOIN wl ON yf = id WHERE name LIKE 't\\_%' ESCAPE '\\'), f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY xf, grp ORDER BY s DESC, yf) = 1) SELECT xf, yf, grp, round(s, 12) AS s FROM f QUALIFY row_number() OVER (PARTITION BY xf ORDER BY s DESC, yf) <= 3", "xx", "yy", "xy")(lambda d: rounded(P.best_per_group(_scored(d).join(d.frame("wl").where("startswith(name, 't_')").select(F.col("id").alias("yf"), F.expr("right(name, 2)").alias("grp")), "yf"), "xf", "yf", "grp", 3).select("xf", "yf", "grp", "s"), "s", digits=12))
 query("assoc_gradient", f"WITH {YS}, {CO}, g AS (SELECT xf, yf, (co - CAST(0.01 AS DOUBLE) * (a1 * a2)) / (a1 * a2 + CAST(1 AS DOUBLE)) AS s FROM st) SELECT xf, yf, round(s, 12) AS s FROM g WHERE s >= CAST(0.01 AS DOUBLE)", "xx", "yy", "xy")(lambda d: rounded(mining.cooccurrences(d.xx, S.seen_labels(d.yy, d.xy), d.xy).select("xf", "yf", P.gradient_score(0.01, 1.0).alias("s")).where("s >= double(0.01)"), "s", digits=12))
-query("assoc_gradient_best", f"WITH {YS}, {CO}, g AS (SELECT st.xf, st.yf, right(name, 2) AS grp, (co - CAST(0.01 AS DOUBLE) * (a1 * a2)) / (a1 * a2 + CAST(1 AS DOUBLE)) AS s FROM st JOIN wl ON yf = id WHERE name LIKE 't\\_%' ESCAPE '\\') SELECT xf, yf, grp, round(s, 12) AS s FROM g WHERE s >= CAST(0.01 AS DOUBLE) QUALIFY row_number() OVER (PARTITION BY xf, grp ORDER BY s DESC, yf) = 1", "xx", "yy", "xy")(lambda d: rounded(P.best_gradients(mining.cooccurrences(d.xx, S.seen_labels(d.yy, d.xy), d.xy).select("xf", "yf", P.gradient_score(0.01, 1.0).alias("s")).join(d.frame("wl").where("startswith(name, 't_')").select(F.col("id").alias("yf"), F.expr("right(name, 2)").alias("grp")), "yf"), "xf", "yf", "grp", 0.01).select("xf", "yf", "grp", "s"), "s", digits=12))
+query("assoc_gradient_best", f"WITH {YS}, {CO}, g AS (SELECT st.xf, st.yf, right(name, 2) AS grp, (co - CAST(0.0001 AS DOUBLE) * (a1 * a2)) / (a1 * a2 + CAST(1 AS DOUBLE)) AS s FROM st JOIN wl ON yf = id WHERE name LIKE 't\\_%' ESCAPE '\\') SELECT xf, yf, grp, round(s, 12) AS s FROM g WHERE s >= CAST(0.0005 AS DOUBLE) QUALIFY row_number() OVER (PARTITION BY xf, grp ORDER BY s DESC, yf) = 1", "xx", "yy", "xy")(lambda d: rounded(P.best_gradients(mining.cooccurrences(d.xx, S.seen_labels(d.yy, d.xy), d.xy).select("xf", "yf", P.gradient_score(0.0001, 1.0).alias("s")).join(d.frame("wl").where("startswith(name, 't_')").select(F.col("id").alias("yf"), F.expr("right(name, 2)").alias("grp")), "yf"), "xf", "yf", "grp", 0.0005).select("xf", "yf", "grp", "s"), "s", digits=12))
 query("name_match", f"WITH {NM} SELECT xf, yf, CAST(1 AS DOUBLE) AS w FROM nm", "wf", "wl")(lambda d: d.matches)
 query("map_dedupe", f"WITH {YS}, {CO}, {BYX}, {BYY}, {NM}, {MX}, {ML} SELECT xf, yf, round(w, 12) AS w FROM ml", "xx", "yy", "xy", "wf", "wl")(lambda d: rounded(d.maps.by_label, "w", digits=12))
 query("pattern_union", f"WITH {YS}, {CO}, {BYX}, {BYY}, {NM}, {MX}, {ML} SELECT xf, yf, round(w, 12) AS w FROM mx UNION ALL SELECT xf, yf, round(w, 12) FROM ml", "xx", "yy", "xy", "wf", "wl")(lambda d: rounded(d.maps.pattern, "w", digits=12))
