@@ -78,8 +78,8 @@ def sql(body: str, *names: str) -> str:
 _TABLES = ("part", "lineitem", "orders", "customer")
 
 
-#: Fixtures that a query writes once, before others build on them.
-STORED = ("xn", "wf", "wl", "xx", "xy_all")
+#: Fixtures that a query writes once, before others build on them; `positions` has written what wf and wl number.
+STORED = ("xn", "xx", "xy_all")
 
 
 class Data:
@@ -92,17 +92,19 @@ class Data:
 
     def frame(self, name: str) -> DataFrame:
         if name not in self._made:
-            if name in ("wf", "wl"):  # numbered in order of the names, which SQL would do in a single task
-                source, column = ("xn", "f") if name == "wf" else ("yn", "g")
-                names = self.frame(source).select(F.col(column).alias("name")).distinct()
-                made = S.positions(names, "name").select("name", F.col("pos").alias("id"))
-            else:
-                inputs = {t: self.table(t) for t in _TABLES if re.search(rf"\b{t}\b", FIXTURES[name])} | {n: self.frame(n) for n in NEEDS.get(name, [])}
-                views = ", ".join(f"{t} AS (SELECT * FROM {{{t}}})" for t in inputs)
-                made = self.spark.sql(f"WITH {views} {FIXTURES[name].format(split='explode(split(p_name, \' \'))')}", **inputs)
+            made = self._build(name)
             self._made[name] = self.scratch.stored(made, name) if name in STORED else made
         return self._made[name]
 
+    def _build(self, name: str) -> DataFrame:
+        if name in ("wf", "wl"):  # numbered in order of the names, which SQL would do in a single task
+            source, column = ("xn", "f") if name == "wf" else ("yn", "g")
+            rows = self._made[source] if source in self._made else self._build(source)  # names alone need no stored rows
+            return S.positions(rows.select(F.col(column).alias("name")).distinct(), "name").select("name", F.col("pos").alias("id"))
+        inputs = {t: self.table(t) for t in _TABLES if re.search(rf"\b{t}\b", FIXTURES[name])} | {n: self.frame(n) for n in NEEDS.get(name, [])}
+        views = ", ".join(f"{t} AS (SELECT * FROM {{{t}}})" for t in inputs)
+        return self.spark.sql(f"WITH {views} {FIXTURES[name].format(split='explode(split(p_name, \' \'))')}", **inputs)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
