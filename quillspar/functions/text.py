@@ -50,6 +50,13 @@ def stemmed(words: DataFrame, column: str = "token") -> DataFrame:
     return words.join(table, column).drop(column).withColumnRenamed("_stem", column)
 
 
+def stemmed_words(docs: DataFrame, words: Column) -> DataFrame:
+    """(id, words): each document's tokens as stems, in order, so that n-grams can be made of them; empty arrays stay."""
+    places = docs.select("id", F.posexplode(words).alias("place", "token"))
+    lists = stemmed(places).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("ws"))
+    return docs.select("id").join(lists, "id", "left").select("id", F.coalesce(F.col("ws.token"), F.array().cast("array<string>")).alias("words"))
+
+
 def term_counts(docs: DataFrame, words: Column) -> DataFrame:
     """(id, term, tf)."""
     return docs.select("id", F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))

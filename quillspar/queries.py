@@ -442,6 +442,7 @@ query("stopwords", r"WITH t AS (SELECT item_id AS id, UNNEST(regexp_split_to_arr
 STEMS = {"caresses": "caress", "ponies": "poni", "running": "run", "hopping": "hop", "hoping": "hope", "generously": "generous", "national": "nation", "relational": "relat", "happiness": "happi", "skies": "sky", "dying": "die", "agreed": "agre", "consistency": "consist", "knightly": "knight", "cry": "cri", "say": "say", "by": "by", "gas": "gas", "communication": "communic"}
 query("stems", "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{t}')" for w, t in STEMS.items()) + ") t(word, token)")(lambda d: T.stemmed(d.spark.createDataFrame([(w, w) for w in STEMS], "word string, token string")).select("word", "token"))
 query("stemmed_tokens", f"WITH {TF} SELECT id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY id")(lambda d: T.stemmed(_docs(d).select("id", F.explode(T.tokens(F.col("text"))).alias("token"))).groupBy("id", "token").agg(F.count("*").alias("tf")).groupBy("id").agg(F.sum("tf").alias("n")))
+query("stemmed_bigrams", f"WITH {TK} SELECT id, CAST(greatest(len(w) - 1, 0) AS BIGINT) AS n FROM tk")(lambda d: T.stemmed_words(_docs(d), T.tokens(F.col("text"))).select("id", F.size(T.bigrams(F.col("words"))).cast("long").alias("n")))
 query("parent_tokens", r"SELECT p_partkey AS id, term, count(*) AS tf FROM (SELECT p_partkey, UNNEST(regexp_extract_all(p_type, '\b\w\w+\b')) AS term FROM part) t GROUP BY 1, 2")(lambda d: T.term_counts(d.table("part").select(F.col("p_partkey").alias("id"), "p_type"), T.plain_words(F.col("p_type"))))
 query("label_private_feature", "SELECT j AS i, row_number() OVER (ORDER BY j) - 1 AS j, CAST(3.5 AS DOUBLE) AS v FROM (SELECT DISTINCT j FROM xy) t", "xy")(lambda d: T.private_features(d.xy.df.select(F.col("j").alias("i")), 3.5))
 query("label_feature_names", "SELECT p_partkey AS id, concat('__label__', p_partkey, '__', substr(p_name, 1, 50)) AS name, concat('__parent__', p_brand) AS parent FROM part")(lambda d: d.table("part").select(F.col("p_partkey").alias("id"), T.label_feature_name(F.col("p_partkey"), F.col("p_name")).alias("name"), T.parent_feature_name(F.col("p_brand")).alias("parent")))
@@ -452,6 +453,29 @@ for _n, _terms in (("u", "w"), ("b", "list_transform(range(1, greatest(len(w), 1
 BI = BI[:-2]
 query("bigram_tfidf", f"WITH {BI} SELECT i, j, round(v, 6) AS v FROM bww")(lambda d: rounded(_weighed(d, T.bigrams(_stopped()))))
 query("text_features", f"WITH {BI}, al AS (SELECT * FROM uww UNION ALL SELECT i, j + 2000, v FROM bww) SELECT i, j, round(v / n, 6) AS v FROM al JOIN (SELECT i, sqrt(sum(v * v)) AS n FROM al GROUP BY i) t USING (i)")(lambda d: rounded(T.features([SparseMatrix.of(_weighed(d, w), d.top("documents", "doc_id"), 2000) for w in (_stopped(), T.bigrams(_stopped()))])))
+
+
+def _label_blocks(d: Data) -> SparseMatrix:
+    """Labels by the terms of their names, the pairs of those, a feature of their own if seen, and the terms of their parents."""
+    labels = d.table("part").select(F.col("p_partkey").alias("id"), "p_name", "p_type")
+    n, seen = labels.count(), d.xy.df.select(F.col("j").alias("i")).distinct()
+    words, blocks = T.tokens(F.col("p_name")), []
+    for terms, most in ((words, 2000), (T.bigrams(words), 2000), (None, None), (T.plain_words(F.col("p_type")), None)):
+        if terms is None:
+            blocks.append(SparseMatrix.of(T.private_features(seen, top), d.parts, seen.count()))
+            continue
+        counts = d.scratch.stored(T.term_counts(labels, terms), "counts")
+        vocabulary = d.scratch.stored(T.fit_vocabulary(counts, n, most, 0.5 if most else 1.0), "vocabulary")
+        top = top if blocks else vocabulary.agg(F.max("idf").alias("top")).first().top
+        blocks.append(SparseMatrix.of(T.transform(counts, vocabulary), d.parts, vocabulary.count()))
+    return T.features(blocks)
+
+
+LB = "pw AS (SELECT p_partkey AS id, list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS w, regexp_extract_all(p_type, '\\b\\w\\w+\\b') AS p FROM part), "
+for _n, _terms, _most, _limit in (("k", "w", 0.5, " ORDER BY n DESC, term LIMIT 2000"), ("m", "list_transform(range(1, greatest(len(w), 1)), lambda k: concat(w[k], ' ', w[k + 1]))", 0.5, " ORDER BY n DESC, term LIMIT 2000"), ("p", "p", 1, "")):
+    LB += f"{_n}t AS (SELECT id, term, count(*) AS tf FROM (SELECT id, UNNEST({_terms}) AS term FROM pw) t GROUP BY 1, 2), {_n}s AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM {_n}t GROUP BY 1 HAVING count(*) <= {_most} * (SELECT count(*) FROM part)), {_n}v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM part)) / (1.0 + df)) + 1 AS idf, row_number() OVER (ORDER BY term) - 1 AS j FROM (SELECT * FROM {_n}s{_limit}) t), "
+LB += "sn AS (SELECT j AS i, row_number() OVER (ORDER BY j) - 1 AS j FROM (SELECT DISTINCT j FROM xy) t), ct AS (SELECT (SELECT count(*) FROM kv) AS a, (SELECT count(*) FROM mv) AS b, (SELECT count(*) FROM sn) AS c), al AS (SELECT id AS i, j, tf * idf AS v FROM kt JOIN kv USING (term) UNION ALL SELECT id, j + a, tf * idf FROM mt JOIN mv USING (term), ct UNION ALL SELECT i, j + a + b, (SELECT max(idf) FROM kv) FROM sn, ct UNION ALL SELECT id, j + a + b + c, tf * idf FROM pt JOIN pv USING (term), ct)"
+query("label_features", f"WITH {LB} SELECT i, j, round(v / n, 6) AS v FROM al JOIN (SELECT i, sqrt(sum(v * v)) AS n FROM al GROUP BY i) t USING (i)", "xy")(lambda d: rounded(_label_blocks(d)))
 query("top_features", "WITH k AS (SELECT i, name, v, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS r FROM xx JOIN wf ON id = j) SELECT i, string_agg(concat(name, ': ', printf('%.2f', v)), ', ' ORDER BY r) AS top FROM k WHERE r <= 3 GROUP BY i", "xx", "wf")(lambda d: T.top_features(d.xx, d.frame("wf"), 3))
 query("text_lines", "SELECT r.i, coalesce(string_agg(concat(c.j, ':', printf('%.3f', c.v)), ' ' ORDER BY c.j), '') AS value FROM range(0, (SELECT max(s_suppkey) + 1 FROM supplier)) r(i) LEFT JOIN c USING (i) GROUP BY 1", "c")(lambda d: _text_lines(d))
 query("visualize", "SELECT xx.i, CAST(row_number() OVER (PARTITION BY xx.i ORDER BY v DESC, j) AS INT) AS rank, j, concat('order ', xx.i) AS entity, name AS feature, v FROM xx JOIN wf ON id = j", "xx", "wf")(lambda d: _report(d))

@@ -238,3 +238,9 @@ def test_settings_from_a_file(tmp_path):
     (tmp_path / "settings").write_text("bs_count 7\nscore_alpha 0.5\n")
     p = Params.parse(["-bs_count", "3", f"@{tmp_path}/settings", "-F", "2"])
     assert (p.bs_count, p.score_alpha, p.F) == (7, 0.5, 2)
+
+
+def test_bigrams_of_stems(spark):
+    docs = spark.createDataFrame([(1, "Running ponies hop"), (2, ""), (3, "The national gas")], "id long, t string")
+    got = {r.id: (r.words, r.b) for r in T.stemmed_words(docs, T.tokens(F.col("t"), ("the",))).select("id", "words", T.bigrams(F.col("words")).alias("b")).collect()}
+    assert got == {1: (["run", "poni", "hop"], ["run poni", "poni hop"]), 2: ([], []), 3: (["nation", "gas"], ["nation gas"])}
