@@ -264,16 +264,15 @@ def contents_of(raw: bytes, wanted: list[tuple], span: int, split_contexts: int)
 
 
 def _contents(span: int, split_contexts: int, words: bool):
-    """(node, tag, text, wanted) batches as contents. Of rows that repeat an id and a text, a task sends two."""
+    """(node, tag, text, wanted) batches as contents. Of rows that repeat an id and a text and follow one another, two are sent."""
 
     def run(batches):
-        sent: dict = {}
+        last, times = None, 0
         for batch in batches:
             for node, tag, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                if wanted[0]["often"]:
-                    sent[node, tag] = sent.get((node, tag), 0) + 1
-                    if sent[node, tag] > 2:
-                        continue
+                last, times = (node, tag), times + 1 if last == (node, tag) else 1
+                if times > 2:
+                    continue
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 if words:
                     raw = word_codes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes()
@@ -382,7 +381,7 @@ def repeated_spans(docs: DataFrame, span: int = 400, split_contexts: int = 4000,
     same = F.col("a") == F.col("b")
 
     def sender(of: str, main: bool):
-        return F.struct(*[F.col(f"{of}.{c}") for c in ("node", "tag")], route.alias("route"), *[F.col(f"{of}.{c}") for c in ("first", "last", "anchor")], F.col("key"), F.col("context"), F.col("m"), F.lit(main).alias("main"), ((F.col("n") > 1) & same).alias("often"))
+        return F.struct(*[F.col(f"{of}.{c}") for c in ("node", "tag")], route.alias("route"), *[F.col(f"{of}.{c}") for c in ("first", "last", "anchor")], F.col("key"), F.col("context"), F.col("m"), F.lit(main).alias("main"))
 
     both = F.when((F.col("n") > 1) & ~same, F.array(sender("a", True), sender("b", False))).otherwise(F.array(sender("a", True)))
     asked = contexts.select(F.explode(both).alias("s")).select("s.*")
@@ -393,7 +392,8 @@ def repeated_spans(docs: DataFrame, span: int = 400, split_contexts: int = 4000,
 
     moved = F.transform("parts", lambda p: F.struct((p["lo"] + F.col("anchor")).alias("lo"), (p["hi"] + F.col("anchor")).alias("hi")))
     hits = runs.join(verdicts, ["key", "context"]).select("node", "tag", moved.alias("spans"))
-    return hits.groupBy("node", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # a set, so that rows that repeat an id and a text hold their spans once
+    return hits.groupBy("node", "tag").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:
