@@ -117,6 +117,18 @@ def test_suffix_dedup_of_repeated_and_null_ids(spark, split):
     assert suffix_dedup.suffix_dedup(documents(spark, rows).limit(0), 400).count() == 0
 
 
+def test_suffix_dedup_of_a_row_loaded_often(spark):
+    """A row that is there 300 times, beside another text that holds a part of it: all copies go, and its spans are kept once."""
+    rng = np.random.default_rng(18)
+    text = "".join(map(chr, rng.integers(97, 123, 1500)))
+    rows = [(1, text)] * 300 + [(2, "x" + text[200:900]), (3, text[::-1])]
+    got = suffix_dedup.suffix_dedup(documents(spark, rows).repartition(3), 400).drop("kept_text")
+    assert Counter(tuple(r) for r in got.collect()) == brute_spans(rows, 400)
+    docs = documents(spark, rows).selectExpr("doc_id as node", "0 as tag", "text")
+    spans = {r.node: r.spans for r in suffix_dedup.repeated_spans(docs).collect()}
+    assert len(spans[1]) < 100 and 3 not in spans
+
+
 def test_suffix_arrays_decide(spark, small, monkeypatch):
     """Without what the suffix arrays find, nothing is removed, whole copies included."""
     rows = small[:80] + [(10_000 + i, t) for i, t in small[:80]]
