@@ -82,6 +82,18 @@ class TensorSketch:
         return h
 
 
+def set_codes(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit sums for each set; zeros for an empty one."""
+    codes = np.zeros((len(sets), 2), np.int64)
+    full = [k for k, s in enumerate(sets) if len(s)]
+    if full:
+        at = np.cumsum([0, *(len(sets[k]) for k in full[:-1])])
+        flat = np.concatenate([sets[k] for k in full])
+        codes[full, 0] = np.add.reduceat(mix(flat), at).view(np.int64)
+        codes[full, 1] = np.add.reduceat(mix(flat ^ _STEP), at).view(np.int64)
+    return codes
+
+
 def linked(sets: list[np.ndarray], num: int, den: int, sides: np.ndarray | None = None) -> np.ndarray:
     """Component number of each set under the links den * |A & B| >= num * |A | B|, every link being found.
 
@@ -150,7 +162,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     3. Bring the texts of clustered representatives together by cluster and find every link there
        (`linked`). A cluster of more than `task_shingles` is cut into blocks, and each task takes two blocks,
        so no group needs to fit a task; copies of a text or set never count, as one stands for them.
-    4. Components of confirmed links, then back from representatives to documents.
+    4. Components of confirmed links, and of sets that share an id, named by their smallest id; then back from
+       representatives to documents.
 
     With `tables`=14 and `rows`=5, a pair of similarity 0.85 shares a bucket with probability 0.9995 and one of
     0.3 with 0.001; with 15 and 4, one of 0.8 with 0.9993. More similar pairs are surer still. A pair that shares
@@ -173,23 +186,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
             for first, last in in_blocks(offsets):
                 sets = shingle_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], words)
                 sizes = np.array([len(s) for s in sets], np.int64)
+                codes, half = set_codes(sets), [None] * len(sets)
                 full = np.flatnonzero(sizes)
-                codes = np.zeros((len(sets), 2), np.int64)
-                half = [None] * len(sets)
                 if len(full):
-                    some = [sets[k] for k in full]
-                    at = np.cumsum([0, *map(len, some[:-1])])
-                    flat = np.concatenate(some)
-                    codes[full, 0] = np.add.reduceat(mix(flat), at).view(np.int64)
-                    codes[full, 1] = np.add.reduceat(mix(flat ^ _STEP), at).view(np.int64)
-                    for k, h in zip(full, sketch.halves(some).view(np.int64), strict=True):
+                    for k, h in zip(full, sketch.halves([sets[k] for k in full]).view(np.int64), strict=True):
                         half[k] = h
                 ids = batch.column(0).slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(codes[:, 0]), pa.array(codes[:, 1]), pa.array(half, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "c1", "c2", "half"])
 
     kind = "doc_id long, n_shingles long, c1 long, c2 long, half array<long>"
     sketched = stored(source.mapInArrow(run, kind), "sketches")
-    reps = stored(sketched.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half")), "reps")
+    reps = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("least"), F.first("half").alias("half"))
+    reps = stored(reps.withColumn("rep", F.xxhash64("n_shingles", "c1", "c2")), "reps")  # a set's own name, as an id may have several
 
     halves = reps.select("rep", F.posexplode("half").alias("place", "h"))
     shared = halves.groupBy("place", "h").agg(F.count("*").alias("n")).where("n > 1").select("place", "h")
@@ -201,12 +209,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     candidates = keyed.join(least, "key").where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b"))
     clusters = components(candidates).toDF("rep", "cluster")
 
-    sized = clusters.join(reps.select("rep", "n_shingles"), "rep")
+    sized = clusters.join(reps.select("rep", "n_shingles", "c1", "least"), "rep")
     blocks = sized.groupBy("cluster").agg(F.sum("n_shingles").alias("total")).select("cluster", F.ceil(F.col("total") / task_shingles).cast("int").alias("blocks"))
     placed = sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = source.join(placed, source.doc_id == placed.rep).select("rep", "text", "cluster", "blocks", "block").dropDuplicates(["rep"])
+    same = source.join(placed, source.doc_id == placed.least).withColumn("code", F.xxhash64("text"))
+    texts = same.dropDuplicates(["rep", "code"]).select("rep", "c1", "text", "cluster", "blocks", "block")  # of an id, all its texts
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    dealt = texts.withColumn("task", F.explode(tasks)).select("cluster", F.col("task.i").alias("i"), F.col("task.j").alias("j"), "block", "rep", "text")
+    dealt = texts.withColumn("task", F.explode(tasks)).select("cluster", F.col("task.i").alias("i"), F.col("task.j").alias("j"), "block", "rep", "text", "c1")
 
     def confirm(batches):
         held: list = []
@@ -223,20 +232,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         for batch in batches:
             data, offsets = texts_of(batch.column(5))
             names = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-            owns, ids = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            owns, ids, wanted = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(6).to_pylist()
             for first, last in in_blocks(offsets):
                 sets = shingle_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], words)
-                for k, s in zip(range(first, last), sets, strict=True):
+                for k, s, (c1, _) in zip(range(first, last), sets, set_codes(sets).tolist(), strict=True):
+                    if c1 != wanted[k]:  # another text of the id
+                        continue
                     if held and held[0][0] != names[k]:
                         yield links()
                         held.clear()
-                    held.append((names[k], ids[k], s, owns[k]))
+                    if not held or held[-1][1] != ids[k]:  # texts that differ in white space or case have one set
+                        held.append((names[k], ids[k], s, owns[k]))
         if held:
             yield links()
 
-    together = dealt.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    found = components(together.mapInArrow(confirm, "a long, b long")).toDF("rep", "component_id")
-    named = reps.join(found, "rep", "left").select("n_shingles", "c1", "c2", F.coalesce("component_id", "rep").alias("component_id"))
+    together = dealt.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
+    links = together.mapInArrow(confirm, "a long, b long")
+    codes = sketched.where("n_shingles > 0 and doc_id is not null").select("doc_id", F.xxhash64("n_shingles", "c1", "c2").alias("a"))
+    several = codes.groupBy("doc_id").agg(F.min("a").alias("b"), F.max("a").alias("other")).where("b <> other").select("doc_id", "b")
+    links = links.unionByName(codes.join(several, "doc_id").where("a <> b").select("a", "b"))
+    found = components(links).toDF("rep", "class")
+    smallest = found.join(reps.select("rep", "least"), "rep").groupBy("class").agg(F.min("least").alias("component_id"))
+    found = found.join(smallest, "class").select("rep", "component_id")
+    named = reps.join(found, "rep", "left").select("n_shingles", "c1", "c2", F.coalesce("component_id", "least").alias("component_id"))
     out = sketched.join(named.hint("merge"), ["n_shingles", "c1", "c2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
