@@ -745,6 +745,17 @@ def test_near_duplicates_on_edge_cases(edge):
     assert got == Counter((i, n, parts.get(i), i is None or parts[i] == i) for i, n in rest)
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """An id's texts are one node: each links it with near copies of its own, whichever row is the first of a set."""
+    rng = np.random.default_rng(2)
+    text = [" ".join(f"w{k}" for k in rng.integers(0, 999, 60)) for _ in range(4)]
+    near = [t + " more" for t in text]
+    rows = [(3, text[0]), (3, text[1]), (3, text[1].upper()), (7, near[0]), (8, near[1]), (2, text[2]), (9, near[2]), (9, near[3]), (10, text[3]), (11, "alone but for its words"), (3, text[0])]
+    got = near_dedup.near_duplicates(documents(spark, rows), 3, 85, 100).collect()
+    assert {r.doc_id: (r.component_id, r.kept) for r in got} == {3: (3, True), 7: (3, False), 8: (3, False), 2: (2, True), 9: (2, False), 10: (2, False), 11: (11, True)}
+    assert len(got) == len(rows)
+
+
 def test_licences_on_edge_cases(edge):
     table, want = licences.Templates(licences.TEMPLATES, 80, 100), Counter()
     for i, t in EDGE:
