@@ -22,6 +22,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_dense_blocks_of_many_features(spark):
+    """A trillion features: only the blocks with entries are dense."""
+    m = matrix(spark, [(0, 3, 2.0), (0, 10**12 - 1, 3.0), (5, 17, 4.0)], 6, 10**12)
+    blocks = E.dense_blocks(m)
+    assert blocks.agg(F.max(F.size("values"))).first()[0] == 16
+    dots = blocks.groupBy("i").agg(F.sum(V.dot(F.col("values"), F.col("entries"))))
+    assert sorted(dots.collect()) == [(0, 13.0), (5, 16.0)]
+
+
 def test_products_are_dealt_by_entity_in_runs(spark):
     """Nothing is dealt by (i, j), and features far apart stay apart."""
     a = matrix(spark, [(0, 0, 1.0), (0, 5000, 2.0), (1, 5000, 3.0)], 2, 5001)
