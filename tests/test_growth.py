@@ -39,3 +39,24 @@ def test_products_are_dealt_by_entity_in_runs(spark):
     assert sorted(out.collect()) == [(0, 0, 1.0), (0, 5000, 32.0), (1, 5000, 6.0)]
     assert not re.search(r"hashpartitioning\(i#\d+L, j#", plan(out))
     assert sorted(P.product(a, b, norm_share=0.5).df.collect()) == [(0, 5000, 32.0), (1, 5000, 6.0)]
+
+
+def test_tasks_follow_the_tables(spark):
+    """Fifty times the table, more tasks; a table of unknown size has the session's number."""
+    with Scratch(spark) as scratch:
+        small, large = (scratch.stored(spark.range(n).select(F.rand(1).alias("i"), F.rand(2).alias("v"))) for n in (10_000, 500_000))
+        assert tasks(small) == spark.sparkContext.defaultParallelism < tasks(large)
+        at = lambda name: F.floor(F.col("v") * 100).cast("long").alias(name)
+        names = lambda text: small.select(at("id"), F.lit(text).alias("name")).distinct()
+        m = SparseMatrix(large.select(at("i"), at("j"), "v"), 100, 100)
+        assert re.search(rf"hashpartitioning\(i#\d+L, {tasks(large, small)}\), REPARTITION_BY_NUM", plan(formats.report(m, names("a"), names("b"))))
+        assert tasks(m.df, spark.createDataFrame([(1,)], "a long").rdd.toDF()) == 4
+
+
+def test_a_binary_file_is_not_taken_for_a_small_table(spark, tmp_path):
+    """What is read is not broadcast whole, as the list of places in the file would be."""
+    m = matrix(spark, [(0, 0, 1.0), (2, 1, 2.0)], 3, 2)
+    formats.write_binary(m, f"{tmp_path}/m.bin")
+    back = formats.read_binary(spark, f"{tmp_path}/m.bin")
+    assert sorted(back.df.collect()) == [(0, 0, 1.0), (2, 1, 2.0)]
+    assert "BroadcastHashJoin" not in plan(back.df.alias("p").join(back.df.alias("q"), "i"))
