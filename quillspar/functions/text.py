@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.elementwise import normalise
 from ..matrix import SparseMatrix
+from ..sources.scratch import Scratch
 
 
 def stopwords() -> list[str]:
@@ -57,21 +58,46 @@ def stemmed_words(docs: DataFrame, words: Column) -> DataFrame:
     return docs.select("id").join(lists, "id", "left").select("id", F.coalesce(F.col("ws.token"), F.array().cast("array<string>")).alias("words"))
 
 
+def _counted(words: Column) -> Column:
+    """A row's distinct words with their numbers, as an array of (term, tf): runs of the sorted words."""
+    def runs(ws: Column) -> Column:
+        last = F.size(ws) - 1
+        starts = F.filter(F.when(last < 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), last)), lambda k: (k == 0) | (F.get(ws, k) != F.get(ws, k - 1)))
+        return F.transform(F.array(starts), lambda at: F.transform(at, lambda k, n: F.struct(F.get(ws, k).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(ws)) - k).cast("long").alias("tf"))))[0]
+
+    return F.transform(F.array(F.sort_array(words)), runs)[0]  # the arrays bind what is made once a row
+
+
 def term_counts(docs: DataFrame, words: Column) -> DataFrame:
-    """(id, term, tf)."""
-    return docs.select("id", F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf).
+
+    A row's words are counted where the row is. Only ids that several rows have, which a look at the ids tells, go
+    through a shuffle of terms.
+    """
+    counts = lambda df: df.select("id", F.explode(_counted(words)).alias("e")).select("id", "e.term", "e.tf")
+    several = docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id"))
+    if several.isEmpty():
+        return counts(docs)
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    merged = counts(docs.join(several, same, "left_semi")).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+    return counts(docs.join(several, same, "left_anti")).unionByName(merged)
 
 
 def fit_vocabulary(counts: DataFrame, n_docs: int, max_features: int | None = None, max_df: float = 0.5) -> DataFrame:
-    """(term, j, df, idf): terms in at most a share of documents, the most frequent ones by corpus count, ids in term order."""
+    """(term, j, df, idf): terms in at most a share of documents, the most frequent ones by corpus count, ids in term order.
+
+    Written, so that terms are counted once and Spark knows the size of what `transform` joins.
+    """
+    scratch = Scratch(counts.sparkSession)
     stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).where(F.col("df") <= max_df * n_docs)
     if max_features is not None:
         stats = stats.orderBy(F.col("n").desc(), "term").limit(max_features)
     from ..operators.select import positions
 
+    stats = scratch.stored(stats, "terms")
     ids = positions(stats.select("term"), "term").withColumnRenamed("pos", "j")
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
-    return stats.join(ids, "term").select("term", "j", "df", idf.alias("idf"))
+    return scratch.stored(stats.join(ids, "term").select("term", "j", "df", idf.alias("idf")), "vocabulary")
 
 
 def transform(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:

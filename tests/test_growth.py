@@ -60,3 +60,13 @@ def test_a_binary_file_is_not_taken_for_a_small_table(spark, tmp_path):
     back = formats.read_binary(spark, f"{tmp_path}/m.bin")
     assert sorted(back.df.collect()) == [(0, 0, 1.0), (2, 1, 2.0)]
     assert "BroadcastHashJoin" not in plan(back.df.alias("p").join(back.df.alias("q"), "i"))
+
+
+def test_terms_are_counted_in_their_row(spark):
+    """No shuffle of terms where ids are unique; rows of an id are added up where not."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id long, text string")
+    counts = T.term_counts(docs, T.tokens(F.col("text")))
+    assert sorted(counts.collect()) == [(1, "a", 2), (1, "b", 1)]
+    assert "Exchange" not in plan(counts)
+    again = docs.union(spark.createDataFrame([(1, "b"), (None, "c c"), (None, "c")], docs.schema))
+    assert sorted(T.term_counts(again, T.tokens(F.col("text"))).collect(), key=repr) == [(1, "a", 2), (1, "b", 2), (None, "c", 3)]
