@@ -70,3 +70,13 @@ def test_terms_are_counted_in_their_row(spark):
     assert "Exchange" not in plan(counts)
     again = docs.union(spark.createDataFrame([(1, "b"), (None, "c c"), (None, "c")], docs.schema))
     assert sorted(T.term_counts(again, T.tokens(F.col("text"))).collect(), key=repr) == [(1, "a", 2), (1, "b", 2), (None, "c", 3)]
+
+
+def test_instances_that_are_alike_are_one(spark):
+    """Weights add up; what has no features counts too."""
+    features = spark.createDataFrame([(x, 0, f, 0, 3.0 + f) for x in range(50) for f in range(2)], "x long, y long, xf long, yf long, v double")
+    rows = spark.createDataFrame([(x, 0, 1 if x < 20 else -1, 2.0) for x in range(60)], "x long, y long, label int, c double")
+    with Scratch(spark) as scratch:
+        entries, kinds = learner.alike(features, rows, True, scratch)
+        assert sorted(kinds.collect()) == [(0, 0, 1, 40.0), (20, 0, -1, 60.0), (50, 0, -1, 20.0)]
+        assert sorted(entries.where("x = 0").select("xf", "v").collect()) == [(0, 0.6), (1, 0.8)]
