@@ -22,6 +22,19 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_labels_that_are_alike_share_rows(spark):
+    """200 labels of two kinds: two rows of candidates a point, and the least labels of the better kind first."""
+    xx = matrix(spark, [(0, 0, 1.0), (0, 1, 2.0), (1, 1, 1.0)], 2, 2)
+    yy = matrix(spark, [(y, f, 1.0) for y in range(200) for f in ((0, 1) if y % 2 else (1,))], 200, 2)
+    weights = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0)], "xf long, yf long, w double")
+    with Scratch(spark) as scratch:
+        groups, members = shortlist.alike(yy, weights, 3, scratch)
+        assert sorted(shortlist.reach(xx, groups, weights).select("x", "c", "n", "s").collect()) == [(0, 0, 100, 2.0), (0, 1, 100, 3.0), (1, 0, 100, 1.0), (1, 1, 100, 1.0)]
+        assert members.count() == 6
+        for found in (shortlist.shortlist(xx, yy, weights, 3, 10, scratch), shortlist.exact_shortlist(xx, yy, weights, 3, scratch)):
+            assert sorted(found.df.collect()) == [(0, 1, 3.0), (0, 3, 3.0), (0, 5, 3.0), (1, 0, 1.0), (1, 1, 1.0), (1, 2, 1.0)]
+
+
 def test_dense_blocks_of_many_features(spark):
     """A trillion features: only the blocks with entries are dense."""
     m = matrix(spark, [(0, 3, 2.0), (0, 10**12 - 1, 3.0), (5, 17, 4.0)], 6, 10**12)
